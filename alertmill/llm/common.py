@@ -61,3 +61,83 @@ def mix(x: np.ndarray) -> np.ndarray:
     x *= MIX_2
     x ^= x >> np.uint64(31)
     return x
+
+
+#: Bytes that part words: ASCII white space and control characters; with marks, ASCII punctuation too.
+SPACE = np.arange(256) <= 32
+MARKS = SPACE | (np.isin(np.arange(256), np.frombuffer(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", np.uint8)))
+_BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+_FOLDED = _BYTE.copy()
+_FOLDED[65:91] = _BYTE[97:123]
+_BASE = 0xD1342543DE82EF95
+_powers: tuple[np.ndarray, np.ndarray] | None = None
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of an odd base modulo 2^64, and their inverses."""
+    global _powers
+    if _powers is None or len(_powers[0]) < n:
+        size = max(n, 1 << 16)
+        both = []
+        for base in (_BASE, pow(_BASE, -1, 2**64)):
+            p = np.full(size, base, np.uint64)
+            p[0] = 1
+            both.append(np.cumprod(p, dtype=np.uint64))
+        _powers = both[0], both[1]
+    return _powers[0][:n], _powers[1][:n]
+
+
+def prefix_hashes(data: np.ndarray, fold: bool = False) -> np.ndarray:
+    """h where (h[e] - h[s]) * inverse power of s names the bytes from s to e; fold: ASCII case doesn't count."""
+    out = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((_FOLDED if fold else _BYTE)[data] * powers(len(data))[0], dtype=np.uint64, out=out[1:])
+    return out
+
+
+def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts of an Arrow array and the bounds of each; null is empty."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    texts = pc.fill_null(texts.cast(pa.large_string()), "")
+    _, offsets, data = texts.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data else np.zeros(0, np.uint8)
+    return data[bounds[0] : bounds[-1]], bounds - bounds[0]
+
+
+def pieces_of(bounds: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
+    """Runs of rows with about so many bytes; a longer row stands alone."""
+    out, a = [], 0
+    while a < len(bounds) - 1:
+        b = max(a + 1, int(np.searchsorted(bounds, bounds[a] + most, "right")) - 1)
+        out.append((a, b))
+        a = b
+    return out
+
+
+def word_hashes(data: np.ndarray, bounds: np.ndarray, parts: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """A 64-bit hash for each word of the texts (ASCII case folded), and the bounds of each text's words."""
+    n = len(data)
+    if not n:
+        return np.zeros(0, np.uint64), np.zeros(len(bounds), np.int64)
+    inside = ~parts[data]
+    edge = np.zeros(n + 1, bool)
+    edge[bounds] = True
+    start, end = inside.copy(), inside.copy()
+    start[1:] &= ~inside[:-1] | edge[1:n]
+    end[:-1] &= ~inside[1:] | edge[1:n]
+    s, e = np.flatnonzero(start), np.flatnonzero(end) + 1
+    h = prefix_hashes(data, fold=True)
+    return mix((h[e] - h[s]) * powers(n)[1][s]), np.searchsorted(s, bounds)
+
+
+def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash for each run of n words that stays in its text, and the bounds of each text's runs."""
+    counts = np.maximum(np.diff(bounds) - n + 1, 0)
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    at = np.arange(ends[-1]) + np.repeat(bounds[:-1] - ends[:-1], counts)
+    h = np.zeros(len(at), np.uint64)
+    for k in range(n):
+        h = h * np.uint64(_BASE) + words[at + k]
+    return mix(h), ends
