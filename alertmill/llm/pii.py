@@ -160,6 +160,10 @@ def _joined(which: Column) -> Column:
 
 def digest(found: DataFrame) -> DataFrame:
     """Counts by kind, the hash of the base spans and all spans in a string."""
-    count = {k: F.size(F.filter("spans", lambda s, k=k: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in KINDS}
+
+    def of(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    count = {k: of(k) for k in KINDS}
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
     return found.select("doc_id", *(count[k] for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *(count[k] for k in ADDED))
