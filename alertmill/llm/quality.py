@@ -119,21 +119,17 @@ def ratios(counts: DataFrame, s: Settings) -> tuple[np.ndarray, np.ndarray]:
 
 def importance(docs: DataFrame, words, form, s: Settings) -> DataFrame:
     """Adds score_words and score_form, the mean log ratio of the features; 0 for a text without any."""
-    schema = pa.schema([("score_words", pa.float64()), ("score_form", pa.float64())])
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [np.zeros(batch.num_rows), np.zeros(batch.num_rows)]
-            text = batch.schema.get_field_index("text")
-            for a, b, w, w_at, f, f_at in features(batch.column(text), s):
+            for a, b, w, w_at, f, f_at in features(batch.column("text"), s):
                 for k, (x, at, table) in enumerate(((w, w_at, words.value), (f, f_at, form.value))):
                     sums = np.concatenate([[0.0], np.cumsum(table[x], dtype=np.float64)])
                     out[k][a:b] = (sums[at[1:]] - sums[at[:-1]]) / np.maximum(np.diff(at), 1)
-            rest = [c for i, c in enumerate(batch.columns) if i != text]
-            yield pa.RecordBatch.from_arrays([*rest, *map(pa.array, out)], names=[*(n for n in batch.schema.names if n != "text"), *schema.names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, out)], names=[*batch.schema.names, "score_words", "score_form"])
 
-    kept = [f for f in docs.schema.fields if f.name != "text"]
-    kind = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in kept), "score_words double", "score_form double"])
+    kind = docs.limit(0).withColumns({c: F.lit(0.0) for c in ("score_words", "score_form")}).schema
     return docs.mapInArrow(score, kind)
 
 
@@ -159,35 +155,48 @@ def threshold(keys: DataFrame, k: int) -> float:
     return low
 
 
+class Classifier:
+    """Models and cuts fitted to docs and labels; answers for any rows of docs."""
+
+    def __init__(self, docs: DataFrame, labels: DataFrame, settings: Settings | None = None):
+        s = self.settings = settings or Settings()
+        spark: SparkSession = docs.sparkSession
+        own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+        marked = own.join(F.broadcast(target_rows(labels, s)), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+        self.words, self.form = (spark.sparkContext.broadcast(r) for r in ratios(count_features(marked, s), s))
+        self.scored = written(importance(marked.select("doc_id", *row_key("doc_id", "text"), "is_target", "text"), self.words, self.form, s).drop("text"), "scores")
+        cuts = f"array({1 - s.keep_target}, 0.5)"
+        found = self.scored.filter("is_target").agg(*(F.expr(f"percentile({c}, {cuts})").alias(c) for c in ("score_words", "score_form"))).first()
+        self.cuts = {c: found[c] for c in ("score_words", "score_form")}
+        keyed = self.keyed(self.scored)
+        self.least = threshold(keyed, keyed.filter(F.col("base") >= 0).count())
+
+    def keyed(self, scored: DataFrame) -> DataFrame:
+        """Adds base and key to rows with scores, k1 and k2."""
+        parts = []
+        for c, cut in self.cuts.items():
+            parts.append((F.col(c) - F.lit(cut[0])) / F.lit(max(cut[1] - cut[0], 1e-6)) if cut else F.lit(1.0))
+        uniform = (F.pmod(F.xxhash64("k1", "k2", F.lit(self.settings.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
+        return scored.withColumn("base", F.least(*parts)).withColumn("key", F.col("base") - self.settings.temperature * F.log(-F.log(uniform)))
+
+    def answers(self) -> DataFrame:
+        return self.keyed(self.scored).select("doc_id", "score_words", "score_form", "key", (F.col("key") >= self.least).alias("keep"))
+
+    def kept(self, docs: DataFrame) -> DataFrame:
+        """The rows of docs that are kept. They are scored anew where they lie, which costs less than a join."""
+        names = docs.columns
+        own = docs.select(F.struct(*names).alias("row"), F.col("text").cast("string").alias("text"), *row_key("doc_id", "text"))
+        return self.keyed(importance(own, self.words, self.form, self.settings)).filter(F.col("key") >= self.least).select("row.*")
+
+
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, k1, k2 (the row by content), score_words, score_form, key and keep for each row of docs.
+    """doc_id, score_words, score_form, key and keep for each row of docs.
 
     A null or empty text has no features, scores 0 and 0 and is kept or not by those; repeated rows get equal answers;
     ties at the k-th key are all kept; without any target label everything is kept. Other columns are ignored."""
-    s = settings or Settings()
-    spark: SparkSession = docs.sparkSession
-    target = target_rows(labels, s)
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    marked = own.join(F.broadcast(target), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
-    words, form = (spark.sparkContext.broadcast(r) for r in ratios(count_features(marked, s), s))
-    scored = written(importance(marked.select("doc_id", *row_key("doc_id", "text"), "is_target", "text"), words, form, s), "scores")
-
-    cuts = [1 - s.keep_target, 0.5]
-    own_scores = scored.filter("is_target").agg(*(F.expr(f"percentile({c}, array({cuts[0]}, {cuts[1]}))").alias(c) for c in ("score_words", "score_form"))).first()
-    scaled = []
-    for c in ("score_words", "score_form"):
-        least, mid = own_scores[c] or (-np.inf, 0.0)
-        scaled.append((F.col(c) - F.lit(least)) / F.lit(max(mid - least, 1e-6)) if np.isfinite(least) else F.lit(1.0))
-    base = F.least(*scaled)
-    uniform = (F.pmod(F.xxhash64("k1", "k2", F.lit(s.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-    keyed = scored.withColumn("base", base).withColumn("key", F.col("base") - s.temperature * F.log(-F.log(uniform)))
-    k = keyed.filter(F.col("base") >= 0).count()
-    least = threshold(keyed, k)
-    return keyed.withColumn("keep", F.col("key") >= F.lit(least)).drop("base", "is_target")
+    return Classifier(docs, labels, settings).answers()
 
 
 def resample(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
     """The rows of docs that classify() keeps, with their columns."""
-    kept = classify(docs, labels, settings).filter("keep").select("k1", "k2").distinct()
-    keyed = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
-    return keyed.join(kept, ["k1", "k2"], "left_semi").select("row.*")
+    return Classifier(docs, labels, settings).kept(docs)

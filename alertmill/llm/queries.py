@@ -27,16 +27,22 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.decontam import leaks
+
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.quality import classify
 
-    scored = classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return scored.select("doc_id", "score_words", "score_form", "key", "keep")
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op3_packing": op3_packing,
+    "op6_decontam": op6_decontam,
     "op9_quality": op9_quality,
 }
 
