@@ -141,3 +141,72 @@ def shingles(words: np.ndarray, bounds: np.ndarray, n: int) -> tuple[np.ndarray,
     for k in range(n):
         h = h * np.uint64(_BASE) + words[at + k]
     return mix(h), ends
+
+
+COUNTS = 1 << 12
+
+
+def summed_vector(parts: DataFrame, size: int) -> np.ndarray:
+    """The sum of vectors of a fixed size that tasks have counted, as rows of count_rows(). Each chunk of the vector is
+    summed as a stream; only the sum reaches the driver."""
+    import pyarrow as pa
+
+    def total(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                sums[k] = sums.get(k, 0) + np.frombuffer(counts, np.int64)
+        yield from count_rows(sums.items(), pa)
+
+    out = np.zeros(-(-size // COUNTS) * COUNTS, np.int64)
+    for r in parts.repartition("chunk").mapInArrow(total, COUNT_ROWS).collect():
+        out[r["chunk"] * COUNTS : (r["chunk"] + 1) * COUNTS] = np.frombuffer(r["counts"], np.int64)
+    return out[:size]
+
+
+COUNT_ROWS = "chunk int, counts binary"
+
+
+def count_rows(items, pa):
+    items = [(k, v.tobytes()) for k, v in items if v.any()]
+    for k in range(0, len(items), 64):
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in items[k : k + 64]], pa.int32()), pa.array([v for _, v in items[k : k + 64]], pa.binary())], names=["chunk", "counts"])
+
+
+def vector_rows(vector: np.ndarray):
+    """A task's vector as rows for summed_vector()."""
+    import pyarrow as pa
+
+    full = np.zeros(-(-len(vector) // COUNTS) * COUNTS, np.int64)
+    full[: len(vector)] = vector
+    return count_rows(enumerate(full.reshape(-1, COUNTS)), pa)
+
+
+def components(edges: DataFrame, name: str = "components") -> DataFrame:
+    """node and root, the least node that it is linked to, for every node of edges (a, b): alternating large and small
+    stars. A node with many edges is met in partial minima and joins that Spark can split."""
+    spark = edges.sparkSession
+
+    def state(df: DataFrame) -> tuple:
+        return tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+
+    now = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
+    seen = state(now)
+    while seen[0]:
+        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        large = large.unionByName(least.filter("m < a").select("a", F.col("m").alias("b"))).filter("a <> b").distinct()
+        large = written(large, name)
+        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = small.unionByName(low.select("a", F.col("m").alias("b"))).filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+        after = written(small, name)
+        forget(spark, now)
+        forget(spark, large)
+        now, before = after, seen
+        seen = state(now)
+        if seen == before:
+            break
+    roots = now.groupBy("a").agg(F.min("b").alias("root"))
+    return roots.select(F.col("a").alias("node"), "root").unionByName(roots.select(F.col("root").alias("node"), "root").distinct())

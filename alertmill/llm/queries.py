@@ -21,6 +21,12 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(find_pii(table(spark, sf_dir, "documents")))
 
 
+def op2_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.neardup import classes
+
+    return classes(table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.packing import pack
 
@@ -41,6 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
+    "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
     "op6_decontam": op6_decontam,
     "op9_quality": op9_quality,
