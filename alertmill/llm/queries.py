@@ -39,6 +39,12 @@ def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.suffixes import digest, repeats
+
+    return digest(repeats(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.quality import classify
 
@@ -50,6 +56,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
     "op6_decontam": op6_decontam,
+    "op7_repeats": op7_repeats,
     "op9_quality": op9_quality,
 }
 
