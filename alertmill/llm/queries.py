@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertmill.llm.common import table
 
@@ -33,6 +34,12 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), word_tokenizer_path())
 
 
+def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.ann import nearest
+
+    return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.decontam import leaks
 
@@ -61,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
+    "op4_ann": op4_ann,
     "op6_decontam": op6_decontam,
     "op7_repeats": op7_repeats,
     "op9_quality": op9_quality,
