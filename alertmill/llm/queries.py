@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertmill.llm.chat import SQL as CHAT_SQL
 from alertmill.llm.common import table
 
 
@@ -40,6 +41,12 @@ def op4_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.chat import rotate
+
+    return rotate(table(spark, sf_dir, "conversations"))
+
+
 def op6_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.decontam import leaks
 
@@ -52,6 +59,12 @@ def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(repeats(table(spark, sf_dir, "documents")))
 
 
+def op8_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.linededup import digest, without_lines
+
+    return digest(without_lines(table(spark, sf_dir, "documents")))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.quality import classify
 
@@ -69,10 +82,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_neardup": op2_neardup,
     "op3_packing": op3_packing,
     "op4_ann": op4_ann,
+    "op5_chat": op5_chat,
     "op6_decontam": op6_decontam,
     "op7_repeats": op7_repeats,
+    "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op5_chat": CHAT_SQL}
