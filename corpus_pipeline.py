@@ -3,20 +3,52 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from alertmill.llm.common import table, written
+from alertmill.llm.decontam import decontaminate
+from alertmill.llm.linededup import replaced
+from alertmill.llm.neardup import distinct_documents
 from alertmill.llm.packing import pack
+from alertmill.llm.quality import resample
 from alertmill.llm.queries import word_tokenizer_path
 
 
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier keeps."""
+    return resample(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines of recurring templates; n_chars follows the text."""
+    out = replaced(docs)
+    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near-duplicates."""
+    return distinct_documents(docs)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that cover no item of the benchmark."""
+    return decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document that is left, in sequences of 4096 tokens."""
     return pack(docs, word_tokenizer_path())
 
 
-STAGES = [("best-fit packing", best_fit_packing)]
+STAGES = [
+    ("quality classifier", quality_classifier),
+    ("line dedup", line_dedup),
+    ("MinHash near-dedup", near_dedup),
+    ("benchmark decontamination", decontamination),
+    ("best-fit packing", best_fit_packing),
+]
 
-#: Hash functions of the models, sketches and tokenizers here have no SQL form.
+#: Hashed models, samples and tokenizers have no SQL form; tests hold the rows against brute force.
 ORACLE_SQL = None
 
 
