@@ -1 +1 @@
-
+"""Query registry over the star schema."""
