@@ -8,7 +8,8 @@ classes are the connected components of verified links.
   what is sent to the executors is bounded. The weight of a shingle is tf * (1 + log((N+1)/(df+1)) / log(N+1)).
 * Texts of equal words collapse to one node before banding, so that copies cost one row each.
 * A bucket is not expanded into pairs: its members meet its leader, the member with the largest buckets altogether, that
-  is, the one most alike to the others. Those that fail meet a new leader among themselves, round after round.
+  is, the one most alike to the others. Those that fail with one leader meet a new leader among themselves, round after
+  round.
 * With 12 bands of 3 samples a pair of similarity 0.8 shares no band with a chance of 0.0002.
 
 A text of one to four words is one shingle. Texts without words (null and empty ones too) are one class. A class is
@@ -129,37 +130,34 @@ def signatures(docs: DataFrame, idf) -> DataFrame:
 
 
 def star(members: DataFrame) -> DataFrame:
-    """members: key, node. (key, node, leader) for the members of each bucket of two or more but its leader."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1")
-    inside = members.join(sizes, "key")
-    alike = inside.groupBy("node").agg(F.sum("n").alias("alike"))
-    leaders = inside.join(alike, "node").groupBy("key").agg(F.max(F.struct("alike", "node"))["node"].alias("leader"))
-    return inside.join(leaders, "key").filter("node <> leader").select("key", "node", "leader")
+    """members: key, node, alike. (node, alike, leader) for the members of each group of two or more but its leader."""
+    leaders = members.groupBy("key").agg(F.count("*").alias("n"), F.max(F.struct("alike", "node"))["node"].alias("leader")).filter("n > 1")
+    return members.join(leaders, "key").filter("node <> leader").select("node", "alike", "leader").distinct()
 
 
 def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
-    """pairs: node, leader. Adds their similarity. A leader's text comes once for each run of its pairs."""
-    kind = "node long, leader long, similarity double"
+    """pairs: node, alike, leader. Adds their similarity. A leader's text comes once for each run of its pairs."""
+    kind = "node long, alike long, leader long, similarity double"
     left = pairs.join(texts, "node")
     both = left.join(texts.select(F.col("node").alias("leader"), F.col("text").alias("leader_text")), "leader")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, vector = None, None
         for batch in batches:
-            nodes, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            out = np.zeros(len(nodes))
-            for row, _, own in text_shingles(batch.column(2)):
+            leaders = batch.column(2).to_pylist()
+            out = np.zeros(len(leaders))
+            for row, _, own in text_shingles(batch.column(3)):
                 if leaders[row] != held:
                     held = leaders[row]
-                    _, _, theirs = next(text_shingles(batch.column(3).slice(row, 1)))
+                    _, _, theirs = next(text_shingles(batch.column(4).slice(row, 1)))
                     vector = weights(theirs, idf.value)
                 (h, w), (g, v) = weights(own, idf.value), vector
                 _, i, j = np.intersect1d(h, g, assume_unique=True, return_indices=True)
                 common = np.minimum(w[i], v[j]).sum(dtype=np.float64)
                 out[row] = common / (w.sum(dtype=np.float64) + v.sum(dtype=np.float64) - common)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out)], names=["node", "leader", "similarity"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(out)], names=["node", "alike", "leader", "similarity"])
 
-    return both.select("node", "leader", "text", "leader_text").mapInArrow(compare, kind)
+    return both.select("node", "alike", "leader", "text", "leader_text").mapInArrow(compare, kind)
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
@@ -171,18 +169,19 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUND
     nodes = signed.groupBy("w1", "w2").agg(F.min("doc_id").alias("first_id"), F.min(F.struct("k1", "k2")).alias("k"), F.first("bands").alias("bands"))
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "w1", "w2", "first_id", "k.k1", "k.k2", "bands"), "nodes")
 
-    members = nodes.select(F.explode("bands").alias("key"), "node")
-    waiting = written(star(members), "stars")
+    in_bands = nodes.select(F.explode("bands").alias("key"), "node")
+    in_bands = in_bands.join(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
+    alike = in_bands.groupBy("node").agg(F.sum("n").alias("alike"))
+    waiting = written(star(in_bands.select("key", "node").join(alike, "node")), "stars")
     near = waiting.select("node").union(waiting.select("leader")).distinct().join(nodes.select("node", "k1", "k2"), "node")
     texts = written(own.select("k1", "k2", "text").join(near, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
     links = None
     for _ in range(rounds):
-        pairs = waiting.select("node", "leader").distinct()
-        checked = written(verify(pairs, texts, idf), "links")
+        checked = written(verify(waiting, texts, idf), "links")
         good = checked.filter(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
         links = good if links is None else links.unionByName(good)
-        failed = checked.filter(F.col("similarity") < similarity).select("node", "leader")
-        waiting = written(star(waiting.join(failed, ["node", "leader"], "left_semi").select("key", "node")), "stars")
+        failed = checked.filter(F.col("similarity") < similarity)
+        waiting = written(star(failed.select(F.col("leader").alias("key"), "node", "alike")), "stars")
         if waiting.isEmpty():
             break
     roots = components(links)
