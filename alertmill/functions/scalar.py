@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ipaddress
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column
@@ -117,8 +118,6 @@ def ipv4_number(ip: Column) -> Column:
 
 def in_ipv4_net(ip: Column, net: str) -> Column:
     """Whether an address lies in a network; false where either can't be read, null for a null address."""
-    import ipaddress
-
     try:
         n = ipaddress.ip_network(net, strict=False)
     except ValueError:
@@ -134,11 +133,16 @@ PRIVATE_NETS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172
 
 
 def is_private_ipv4(ip: Column) -> Column:
-    """Null if there is no readable IPv4 address (functions.network has the form for IPv6)."""
-    inside = F.lit(False)
-    for net in PRIVATE_NETS:
-        inside = inside | in_ipv4_net(ip, net)
-    return F.when(ipv4_number(ip).isNotNull(), inside)
+    """Null if there is no readable IPv4 address (textsafety.is_private reads IPv6 too)."""
+    nets = [ipaddress.ip_network(n) for n in PRIVATE_NETS]
+
+    def inside(n: Column) -> Column:
+        out = F.lit(False)
+        for net in nets:
+            out = out | n.between(int(net.network_address), int(net.broadcast_address))
+        return out
+
+    return F.transform(F.array(ipv4_number(ip)), inside)[0]  # the number is worked out once
 
 
 def _categories(keys: Column, table: Mapping[str, str]) -> Column:
