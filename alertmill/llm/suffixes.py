@@ -222,6 +222,7 @@ def counted(docs: DataFrame, ids: list[str], passes: int, keys: Callable[[Text,
         return docs.select("text", *given, *[c for c in ids if c in names]).mapInArrow(local, kind)
 
     twice = emit(["key", ids[0]]).groupBy("key").agg(F.count("*").alias("n"), F.min(ids[0]).alias("owner")).filter("n > 1")
+    twice = written(twice, "digits")  # a join of two exchanges, which Spark can split where a key is frequent
     met = emit(["key", "place", *ids]).join(twice, "key")
     code = F.col("place") + F.when(F.col("owner") == F.col(ids[0]), F.lit(OWN)).otherwise(F.lit(0))
     found = met.groupBy(*ids).agg(F.collect_set(F.struct(code.alias("code"), "n")).alias("found"))
