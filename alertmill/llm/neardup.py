@@ -7,9 +7,11 @@ classes are the connected components of verified links.
 * Document frequencies are counted over all documents in a hashed table of fixed size (as HashingTF and IDF do), so that
   what is sent to the executors is bounded. The weight of a shingle is tf * (1 + log((N+1)/(df+1)) / log(N+1)).
 * Texts of equal words collapse to one node before banding, so that copies cost one row each.
-* A bucket is not expanded into pairs: its members meet its leader, the member with the largest buckets altogether, that
-  is, the one most alike to the others. Those that fail with one leader meet a new leader among themselves, round after
-  round.
+* A bucket is not expanded into pairs: its members first meet its leader, the member with the largest buckets altogether,
+  that is, the one most alike to the others. That links most of what can be linked.
+* No link is lost: in a bucket whose members are still in several classes, every text outside its main class meets all
+  texts of other classes, in blocks of bounded size (`BLOCK_BYTES`). A block answers with links between classes only, at
+  most one for each two classes, never with pairs.
 * With 12 bands of 3 samples a pair of similarity 0.8 shares no band with a chance of 0.0002.
 
 A text of one to four words is one shingle. Texts without words (null and empty ones too) are one class. A class is
@@ -21,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +34,10 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 12, 3
 BUCKETS = 1 << 18
-ROUNDS = 6
+#: Texts of a block of one side, each counted as at least LEAST_BYTES so that their number is bounded too.
+BLOCK_BYTES, LEAST_BYTES = 4 << 20, 8 << 10
+#: Features that a block compares at a time.
+COLUMNS = 2048
 
 _SAMPLES = BANDS * ROWS
 _ODD = mix(np.arange(1, _SAMPLES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
@@ -160,7 +166,75 @@ def verify(pairs: DataFrame, texts: DataFrame, idf) -> DataFrame:
     return both.select("node", "alike", "leader", "text", "leader_text").mapInArrow(compare, kind)
 
 
-def classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUNDS) -> DataFrame:
+def block_similarities(left: list[np.ndarray], right: list[np.ndarray], idf: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard similarities of texts, given as hashes of their shingles with repeats. The k-th repeat of a shingle
+    is a feature of its own, so that the common weight of two texts is a product of matrices, made by runs of columns."""
+    sides = []
+    for texts in (left, right):
+        features, weight, owner = [], [], []
+        for k, own in enumerate(texts):
+            own = np.sort(own)
+            new = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[: len(own)])
+            nth = np.arange(len(own)) - np.repeat(new, np.diff(np.concatenate([new, [len(own)]])))
+            features.append(mix(own + nth.astype(np.uint64) * MIX_1))
+            weight.append(idf[(own & np.uint64(BUCKETS - 1)).astype(np.int64)])
+            owner.append(np.full(len(own), k))
+        sides.append((np.concatenate(features), np.concatenate(weight).astype(np.float64), np.concatenate(owner)))
+    totals = [np.bincount(owner, weight, len(texts)) for (_, weight, owner), texts in zip(sides, (left, right), strict=True)]
+    common = np.intersect1d(sides[0][0], sides[1][0])
+    met = []
+    for features, weight, owner in sides:
+        at = np.searchsorted(common, features)
+        near = common[np.minimum(at, len(common) - 1)] == features if len(common) else np.zeros(len(features), bool)
+        order = np.argsort(at[near], kind="stable")
+        met.append((at[near][order], weight[near][order], owner[near][order]))
+    out = np.zeros((len(left), len(right)))
+    for first in range(0, len(common), COLUMNS):
+        width = min(COLUMNS, len(common) - first)
+        a, b = np.zeros((len(left), width)), np.zeros((len(right), width))
+        for (at, weight, owner), matrix, weighted in zip(met, (a, b), (True, False), strict=True):
+            run = slice(*np.searchsorted(at, [first, first + width]))
+            matrix[owner[run], at[run] - first] = weight[run] if weighted else 1
+        out += a @ b.T
+    return out / (totals[0][:, None] + totals[1][None, :] - out)
+
+
+def links_of_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, idf, similarity: float) -> DataFrame:
+    """(a, b): roots of two classes that hold two texts of one bucket alike enough. Every such pair of classes is linked by
+    the answers, directly or by others.
+
+    In each bucket, texts outside the class with the most text are the rest. Blocks t of the rest meet blocks u of all."""
+    sized = texts.select("node", F.greatest(F.octet_length("text"), F.lit(LEAST_BYTES)).cast("long").alias("size"))
+    own = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(sized, "node")
+    by_class = own.groupBy("key", "root").agg(F.sum("size").alias("size"), F.count("*").alias("n"))
+    # a bucket of two is its leader and what the leader has met
+    mixed = by_class.groupBy("key").agg(F.count("*").alias("classes"), F.sum("n").alias("n"), F.sum("size").alias("all"), F.max(F.struct("size", "root")).alias("main")).filter("classes > 1 and n > 2")
+    parts = own.join(mixed.select("key", "all", "main"), "key").select("key", "node", "root", (F.col("root") != F.col("main.root")).alias("rest"), F.ceil((F.col("all") - F.col("main.size")) / BLOCK_BYTES).alias("ts"), F.ceil(F.col("all") / BLOCK_BYTES).alias("us"))
+    t, u = F.pmod(F.xxhash64("node", F.lit(1)), "ts"), F.pmod(F.xxhash64("node", F.lit(2)), "us")
+    as_one = F.transform(F.sequence(F.lit(0).cast("long"), F.col("ts") - 1), lambda k: F.struct(k.alias("pt"), F.col("u").alias("pu")))
+    as_rest = F.transform(F.sequence(F.lit(0).cast("long"), F.col("us") - 1), lambda k: F.struct(F.col("t").alias("pt"), k.alias("pu")))
+    placed = parts.withColumn("t", t).withColumn("u", u)
+    placed = placed.withColumn("p", F.explode(F.when(F.col("rest"), F.array_distinct(F.concat(as_one, as_rest))).otherwise(as_one))).select("key", "p.pt", "p.pu", "node", "root", "rest", "t", "u")
+
+    def compare(key, rows):
+        _, pt, pu = key
+        shingled: list[np.ndarray] = [np.zeros(0, np.uint64)] * len(rows)
+        for row, _, found in text_shingles(pa.array(rows["text"], pa.large_string())):
+            shingled[row] = found
+        left = np.flatnonzero(rows["rest"].to_numpy() & (rows["t"].to_numpy() == pt))
+        right = np.flatnonzero(rows["u"].to_numpy() == pu)
+        if not len(left) or not len(right):
+            return rows.iloc[:0][["node", "root"]].set_axis(["a", "b"], axis=1)
+        root = rows["root"].to_numpy()
+        alike = block_similarities([shingled[k] for k in left], [shingled[k] for k in right], idf.value) >= similarity
+        i, j = np.nonzero(alike & (root[left][:, None] != root[right][None, :]))
+        pairs = np.unique(np.sort(np.stack([root[left[i]], root[right[j]]], 1), axis=1), axis=0)
+        return pd.DataFrame({"a": pairs[:, 0], "b": pairs[:, 1]})
+
+    return placed.join(texts, "node").groupBy("key", "pt", "pu").applyInPandas(compare, "a long, b long")
+
+
+def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, k1, k2 (the row by content) and class_id for each row of docs."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), F.col("text").cast("string").alias("text"))
@@ -170,22 +244,15 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, rounds: int = ROUND
     nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "w1", "w2", "first_id", "k.k1", "k.k2", "bands"), "nodes")
 
     in_bands = nodes.select(F.explode("bands").alias("key"), "node")
-    in_bands = in_bands.join(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key")
-    alike = in_bands.groupBy("node").agg(F.sum("n").alias("alike"))
-    waiting = written(star(in_bands.select("key", "node").join(alike, "node")), "stars")
-    near = waiting.select("node").union(waiting.select("leader")).distinct().join(nodes.select("node", "k1", "k2"), "node")
-    texts = written(own.select("k1", "k2", "text").join(near, ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
-    links = None
-    for _ in range(rounds):
-        checked = written(verify(waiting, texts, idf), "links")
-        good = checked.filter(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
-        links = good if links is None else links.unionByName(good)
-        failed = checked.filter(F.col("similarity") < similarity)
-        waiting = written(star(failed.select(F.col("leader").alias("key"), "node", "alike")), "stars")
-        if waiting.isEmpty():
-            break
-    roots = components(links)
-    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = written(in_bands.join(in_bands.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "key"), "members")
+    alike = members.groupBy("node").agg(F.sum("n").alias("alike"))
+    texts = written(own.select("k1", "k2", "text").join(alike.join(nodes, "node").select("node", "k1", "k2"), ["k1", "k2"]).select("node", "text").dropDuplicates(["node"]), "texts")
+    checked = verify(star(members.select("key", "node").join(alike, "node")), texts, idf)
+    links = checked.filter(F.col("similarity") >= similarity).select(F.col("node").alias("a"), F.col("leader").alias("b"))
+    roots = written(components(links), "roots")
+    more = written(components(links_of_classes(members.select("key", "node"), roots, texts, idf, similarity)).select(F.col("node").alias("root"), F.col("root").alias("last")), "roots")
+
+    labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left").withColumn("root", F.coalesce("last", "root"))
     names = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"))
     by_words = labelled.join(names, "root").select("w1", "w2", "class_id")
     return signed.select("doc_id", "k1", "k2", "w1", "w2").join(by_words, ["w1", "w2"]).select("doc_id", "k1", "k2", "class_id")
