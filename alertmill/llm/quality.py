@@ -8,7 +8,8 @@ marks, single and in pairs: how it is written). A bucket counts only where targe
 chance. Each ratio is scaled so that 0 is exceeded by a share `keep_target` of the labelled target documents and 1 is
 their median; the key is the lower one plus noise; k is the number of documents at 0 or above before noise.
 
-Target text: a bounded sample (`label_rows`) of labelled rows with quality 1 and toxic not 1. Raw counts cover every
+Target text: a bounded sample (`label_rows`) of labelled rows with quality 1 and toxic not 1. A quarter of it is held out
+of the counts, and the cuts are taken from its scores, as what a model has counted scores too high. Raw counts cover every
 document. Count vectors have a fixed size and are summed as streams; only they and a bounded sample of scores reach
 the driver. The k-th key is found by counting in ever narrower bins, so that nothing is sorted in one place.
 """
@@ -59,10 +60,11 @@ def features(texts: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarra
 
 
 def target_rows(labels: DataFrame, s: Settings) -> DataFrame:
-    """At most label_rows doc_ids of target text. A document labelled more than once counts by its worst label."""
+    """At most label_rows doc_ids of target text, counted or held out. A document labelled more than once counts by its
+    worst label."""
     own = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
     good = own.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1))
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.label_rows).select("doc_id", F.lit(True).alias("is_target"))
+    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.label_rows).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("is_held"))
 
 
 def count_features(docs: DataFrame, s: Settings) -> DataFrame:
@@ -162,11 +164,16 @@ class Classifier:
         s = self.settings = settings or Settings()
         spark: SparkSession = docs.sparkSession
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        marked = own.join(F.broadcast(target_rows(labels, s)), "doc_id", "left").withColumn("is_target", F.coalesce("is_target", F.lit(False)))
+        marked = own.join(F.broadcast(target_rows(labels, s)), "doc_id", "left")
+        marked = marked.withColumns({"is_target": F.coalesce(~F.col("is_held"), F.lit(False)), "is_held": F.coalesce("is_held", F.lit(False))})
         self.words, self.form = (spark.sparkContext.broadcast(r) for r in ratios(count_features(marked, s), s))
-        self.scored = written(importance(marked.select("doc_id", *row_key("doc_id", "text"), "is_target", "text"), self.words, self.form, s).drop("text"), "scores")
+        self.scored = written(importance(marked.select("doc_id", *row_key("doc_id", "text"), "is_target", "is_held", "text"), self.words, self.form, s).drop("text"), "scores")
         cuts = f"array({1 - s.keep_target}, 0.5)"
-        found = self.scored.filter("is_target").agg(*(F.expr(f"percentile({c}, {cuts})").alias(c) for c in ("score_words", "score_form"))).first()
+        found = {}
+        for which in ("is_held", "is_target"):  # all counted ones, where none is held out
+            found = self.scored.filter(which).agg(*(F.expr(f"percentile({c}, {cuts})").alias(c) for c in ("score_words", "score_form"))).first()
+            if found["score_words"]:
+                break
         self.cuts = {c: found[c] for c in ("score_words", "score_form")}
         keyed = self.keyed(self.scored)
         self.least = threshold(keyed, keyed.filter(F.col("base") >= 0).count())
