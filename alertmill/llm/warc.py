@@ -189,7 +189,8 @@ def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """A record for each row of pages, in files of about file_bytes before compression."""
+    """A record for each row of pages, in files of about file_bytes before compression. Payloads are shuffled once, to meet
+    the least page_id of their digest; files are cut by a number of records, from the mean size of a page."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -202,11 +203,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
                 out.append(packed[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["packed"])
 
-    typed = with_types(pages, least_bytes)
-    total = pages.agg(F.sum(F.octet_length("html"))).first()[0] or 0
-    files = max(1, math.ceil(total / file_bytes))
-    rows = typed.select("page_id", "url", "payload", "sha1", "first_id").repartition(files)
-    rows.mapInArrow(pack, "packed binary").select(F.col("packed").cast("string").alias("value")).write.option("lineSep", "\0").text(path)
+    n, total = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
+    per_file = max(1, math.floor(file_bytes * n / max(total or 0, n, 1)))
+    rows = with_types(pages, least_bytes).select("page_id", "url", "payload", "sha1", "first_id")
+    rows.mapInArrow(pack, "packed binary").select(F.col("packed").cast("string").alias("value")).write.options(lineSep="\0", maxRecordsPerFile=per_file).text(path)
 
 
 READ = "file string, page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, intact boolean"
