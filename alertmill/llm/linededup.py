@@ -28,7 +28,7 @@ MATCH = 0.6
 
 
 def tokens(line: Column) -> Column:
-    return F.filter(F.split(line, "[ \t\r]+"), lambda t: t != "")
+    return F.split(F.btrim(line, F.lit(" \t\r")), "[ \t\r]+")
 
 
 def leaf(token: Column, depth: int) -> Column:
@@ -46,7 +46,8 @@ def lines_of(docs: DataFrame) -> DataFrame:
 
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, documents: int = DOCUMENTS, agreement: float = AGREEMENT, match: float = MATCH) -> DataFrame:
     """k1, k2, doc_id, leaf and place of the lines whose template recurs, without those of its first document."""
-    found = lines_of(docs).withColumn("leaf", leaf(tokens(F.col("line")), depth)).drop("line")
+    split = lines_of(docs).withColumn("token", tokens(F.col("line")))  # a column of its own, so that it is made once
+    found = split.withColumn("leaf", leaf(F.col("token"), depth)).drop("line", "token")
     in_docs = found.groupBy("leaf", "k1", "k2").agg(F.lit(1).alias("one"))
     common = written(in_docs.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= documents).select("leaf"), "leaves")
 
