@@ -235,7 +235,8 @@ def links_of_classes(members: DataFrame, roots: DataFrame, texts: DataFrame, idf
 
 
 def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """doc_id, k1, k2 (the row by content) and class_id for each row of docs."""
+    """doc_id, k1, k2 (the row by content), root and class_id for each row of docs. root is the class; class_id only names
+    it: classes of texts without an id have no name, and an id on several texts can name several classes."""
     spark = docs.sparkSession
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *row_key("doc_id", "text"), F.col("text").cast("string").alias("text"))
     idf = spark.sparkContext.broadcast(frequencies(own))
@@ -254,13 +255,13 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
 
     labelled = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")).join(more, "root", "left").withColumn("root", F.coalesce("last", "root"))
     names = labelled.groupBy("root").agg(F.min("first_id").alias("class_id"))
-    by_words = labelled.join(names, "root").select("w1", "w2", "class_id")
-    return signed.select("doc_id", "k1", "k2", "w1", "w2").join(by_words, ["w1", "w2"]).select("doc_id", "k1", "k2", "class_id")
+    by_words = labelled.join(names, "root").select("w1", "w2", "root", "class_id")
+    return signed.select("doc_id", "k1", "k2", "w1", "w2").join(by_words, ["w1", "w2"]).select("doc_id", "k1", "k2", "root", "class_id")
 
 
 def distinct_documents(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """The rows of docs, with their columns, whose doc_id names their class; of repeated rows, one."""
-    found = classes(docs, similarity)
-    kept = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_id").agg(F.min(F.struct("k1", "k2")).alias("k")).select("k.k1", "k.k2")
+    """One row of docs for each class, with its columns: that of the least doc_id, nulls last, then of the least content."""
+    order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "k1", "k2")
+    kept = classes(docs, similarity).groupBy("root").agg(F.min(order).alias("k")).select("k.k1", "k.k2")
     keyed = docs.select(F.struct("*").alias("row"), *row_key("doc_id", "text"))
     return keyed.join(kept, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]).select("row.*")

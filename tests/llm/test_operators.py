@@ -117,6 +117,15 @@ def test_near_duplicates_are_the_components_of_exact_links(spark):
     assert neardup.classes(documents(spark, [])).count() == 0
 
 
+def test_different_texts_without_an_id_or_with_one_id_all_stay(spark):
+    rng = random.Random(14)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    docs = documents(spark, [(None, a), (None, b), (5, c), (5, d), (None, c), (7, d), (None, a)])
+    assert len({r["root"] for r in neardup.classes(docs).collect()}) == 4
+    kept = Counter((r["doc_id"], r["text"]) for r in neardup.distinct_documents(docs).collect())
+    assert kept == Counter([(None, a), (None, b), (5, c), (5, d)])
+
+
 def test_components_of_chains(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(40) if k != 20] + [(50, 60), (60, 50), (7, 7)], "a long, b long")
     got = {r["node"]: r["root"] for r in components(edges).collect()}
