@@ -1,14 +1,17 @@
 """Line dedup by a log-template tree, in DataFrame functions alone.
 
-Method: a tree of fixed depth. A line goes down by its token count and its leading tokens, in which tokens with digits
-are variable; lines of one leaf whose tokens mostly agree share a template, in which the tokens that differ are variable
-fields. A template that recurs across documents is boilerplate: all its lines but those of its first document go.
+Method: a tree whose first levels are fixed. A line goes down by its token count and its leading tokens, in which tokens
+with digits are variable; a leaf holds as many templates as its lines have. A template that recurs across documents is
+boilerplate: all its lines but those of its first document go.
 
 * Leaves of fewer than `documents` documents can hold no recurring template and are left at once; only lines of the
-  others are split into tokens. What is counted is summed before it is shuffled, so that a frequent line is one row a task.
-* In a leaf, a place's token is constant if at least `agreement` of the leaf's lines have it, else it is a variable field.
-  A line matches the template if at least `match` of all its tokens are the constant ones.
-* A leaf's template recurs if its lines are in at least `documents` documents.
+  others are split into tokens. Equal lines of a leaf are one kind; what recurs is counted in documents.
+* A kind can belong to these templates, the widest first: that of the leaf's main tokens (at each place the token of at
+  least `agreement` of the leaf's documents, else a variable field); its own text with tokens with digits masked; and a
+  chain of templates whose constant tokens are those of its tokens that at least so many documents have at their place,
+  for each number from `documents` on, down to a text that recurs word for word. The other tokens are variable fields.
+* At least `match` of a line's tokens must be constant ones. A line belongs to the widest of its templates that is in at
+  least `documents` documents.
 
 Lines are parted by newlines and tokens by blanks; empty lines stay. The order "first" is by doc_id, nulls last, then by
 the row's content; equal rows are one document, and keep or lose the same lines.
@@ -44,32 +47,54 @@ def lines_of(docs: DataFrame) -> DataFrame:
     return rows.filter(F.trim("line") != "")
 
 
+def templates(kinds: DataFrame, by_token: DataFrame, leaves: DataFrame, depth: int, documents: int, agreement: float, match: float) -> DataFrame:
+    """leaf, same, rank and template: the templates that each kind of line could belong to, the widest first."""
+    of_place = by_token.groupBy("leaf", "at").agg(F.max(F.struct("n", "token")).alias("most")).join(leaves, "leaf")
+    common = F.when(F.col("most.n") >= agreement * F.col("n"), F.col("most.token"))
+    main = of_place.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", common.alias("token")))).alias("main"))
+    often = by_token.filter(F.col("n") >= documents).select("leaf", "at", "token", (-F.col("n")).alias("less"))
+    each = kinds.select("leaf", "same", F.posexplode("tokens").alias("at", "token"))
+    chain = each.join(often, ["leaf", "at", "token"]).groupBy("leaf", "same").agg(F.sort_array(F.collect_list(F.struct("less", "at", "token"))).alias("chain"))
+    rows = kinds.join(main, "leaf").join(chain, ["leaf", "same"], "left").withColumn("chain", F.coalesce("chain", F.array().cast(chain.schema["chain"].dataType)))
+
+    n = F.size("tokens")
+    enough = lambda constant: constant >= match * n
+    agreed = F.filter(F.zip_with("tokens", "main", lambda t, c: t == c["token"]), lambda x: x)
+    literal = F.filter("tokens", lambda t: ~t.rlike("[0-9]"))
+    masked = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
+    # a prefix of the chain ends where the next token is in fewer documents
+    ends = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: enough(i) & ((i == F.size("chain")) | (F.get("chain", i)["less"] != F.get("chain", i - 1)["less"])))
+    chained = F.when(F.size("chain") > 0, F.transform(ends, lambda i: F.xxhash64(F.lit("chain"), F.slice("chain", 1, i)))).otherwise(F.array().cast("array<long>"))
+    wide = F.array(F.when(enough(F.size(agreed)), F.xxhash64(F.lit("main"))), F.when(enough(F.size(literal)), F.xxhash64(F.lit("masked"), masked)))
+    return rows.select("leaf", "same", F.posexplode(F.filter(F.concat(wide, chained), lambda x: x.isNotNull())).alias("rank", "template"))
+
+
 def recurring_lines(docs: DataFrame, depth: int = DEPTH, documents: int = DOCUMENTS, agreement: float = AGREEMENT, match: float = MATCH) -> DataFrame:
-    """k1, k2, doc_id, leaf and place of the lines whose template recurs, without those of its first document."""
+    """k1, k2 and place of the lines whose template recurs, without those of its first document."""
     split = lines_of(docs).withColumn("token", tokens(F.col("line")))  # a column of its own, so that it is made once
     found = split.withColumn("leaf", leaf(F.col("token"), depth)).drop("line", "token")
     in_docs = found.groupBy("leaf", "k1", "k2").agg(F.lit(1).alias("one"))
-    common = written(in_docs.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= documents).select("leaf"), "leaves")
+    common = written(in_docs.groupBy("leaf").agg(F.count("*").alias("n")).filter(F.col("n") >= documents), "leaves")
 
-    chosen = found.join(common, "leaf").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "leaf")).alias("chosen"))
+    chosen = found.join(common.select("leaf"), "leaf").groupBy("k1", "k2").agg(F.collect_set(F.struct("place", "leaf")).alias("chosen"))
     text = docs.select(*row_key("doc_id", "text"), F.col("doc_id").cast("long").alias("doc_id"), F.split(F.col("text").cast("string"), "\n").alias("lines"))
     met = text.join(chosen, ["k1", "k2"]).select("k1", "k2", "doc_id", F.explode(F.transform("chosen", lambda c: F.struct(c["place"].alias("place"), c["leaf"].alias("leaf"), F.xxhash64(tokens(F.col("lines")[c["place"]])).alias("same"), tokens(F.col("lines")[c["place"]]).alias("tokens")))).alias("l"))
     lines = written(met.select("k1", "k2", "doc_id", "l.*"), "lines")
 
-    # equal lines of a leaf are split once
-    kinds = lines.groupBy("leaf", "same").agg(F.count("*").alias("n"), F.first("tokens").alias("tokens"))
-    each = kinds.select("leaf", "n", F.posexplode("tokens").alias("at", "token"))
-    by_token = each.groupBy("leaf", "at", "token").agg(F.sum("n").alias("n"))
-    of_place = by_token.groupBy("leaf", "at").agg(F.max_by("token", F.struct("n", "token")).alias("token"), F.max("n").alias("most"), F.sum("n").alias("all"))
-    template = of_place.groupBy("leaf").agg(F.sort_array(F.collect_list(F.struct("at", F.when(F.col("most") >= agreement * F.col("all"), F.col("token")).alias("token")))).alias("template"))
-    same = F.aggregate(F.zip_with("tokens", "template", lambda t, c: (t == c["token"])), F.lit(0), lambda n, x: n + F.when(x, 1).otherwise(0))
-    fitting = kinds.join(template, "leaf").filter(same >= match * F.size("tokens")).select("leaf", "same")
-    fits = lines.join(fitting, ["leaf", "same"]).select("leaf", "k1", "k2", "doc_id", "place")
-    per_doc = fits.groupBy("leaf", "k1", "k2").agg(F.min("doc_id").alias("doc_id"))
+    # equal lines of a leaf are split once; what recurs is counted in documents
+    kinds = written(lines.groupBy("leaf", "same").agg(F.first("tokens").alias("tokens")), "kinds")
+    in_doc = lines.select("leaf", "k1", "k2", F.posexplode("tokens").alias("at", "token")).distinct()
+    by_token = written(in_doc.groupBy("leaf", "at", "token").agg(F.count("*").alias("n")), "tokens")
+    options = written(templates(kinds, by_token, common, depth, documents, agreement, match), "options")
+
+    offered = lines.select("leaf", "same", "k1", "k2").join(options, ["leaf", "same"]).select("leaf", "template", "k1", "k2").distinct()
+    recurring = offered.groupBy("leaf", "template").agg(F.count("*").alias("n")).filter(F.col("n") >= documents).select("leaf", "template")
+    best = options.join(recurring, ["leaf", "template"]).groupBy("leaf", "same").agg(F.min(F.struct("rank", "template")).alias("best"))
+    fits = lines.join(best, ["leaf", "same"]).select("leaf", F.col("best.template").alias("template"), "k1", "k2", "doc_id", "place")
     order = F.struct(F.col("doc_id").isNull(), F.coalesce("doc_id", F.lit(0)), "k1", "k2")
-    recurring = per_doc.groupBy("leaf").agg(F.count("*").alias("n"), F.min(order).alias("first")).filter(F.col("n") >= documents)
+    firsts = fits.groupBy("leaf", "template").agg(F.min(order).alias("first"))
     first = (F.col("first.k1") == F.col("k1")) & (F.col("first.k2") == F.col("k2"))
-    return fits.join(recurring, "leaf").filter(~first).select("k1", "k2", "place")
+    return fits.join(firsts, ["leaf", "template"]).filter(~first).select("k1", "k2", "place")
 
 
 def without_lines(docs: DataFrame, **settings) -> DataFrame:

@@ -337,6 +337,34 @@ def test_recurring_templates_go_but_for_their_first_document(spark):
     assert linededup.digest(linededup.without_lines(documents(spark, []))).count() == 0
 
 
+def kept_lines(spark, rows):
+    return {r["row"]["doc_id"]: r["text"].split("\n") for r in linededup.without_lines(documents(spark, rows)).collect()}
+
+
+def test_a_leaf_holds_several_templates(spark):
+    rng = random.Random(5)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda: "".join(rng.choices(letters, k=9))
+    lead = "All rights reserved "
+    texts = [lead + " ".join(word() for _ in range(7)) for _ in range(3)]  # a third each
+    fields = lead + "%s by the %s of old towns"
+    rows = [(k, f"{word()} {word()}\n{texts[k % 3]}") for k in range(60)]
+    rows += [(100 + k, fields % (word(), word())) for k in range(20)]
+    rows += [(200 + k, "Copies of this " + " ".join(word() for _ in range(6))) for k in range(30)]
+    verbatim = "Copies of this text are sold at every station"
+    rows += [(300 + k, verbatim) for k in range(20)]
+    # one document with most of the lines of a leaf
+    rows += [(400, "\n".join(f"Items of trade {word()} in the lower harbour" for _ in range(50)))]
+    rows += [(401 + k, "Items of trade wool from a northern village") for k in range(9)]
+    out = kept_lines(spark, rows)
+    for k in range(60):
+        assert (texts[k % 3] in out[k]) == (k < 3) and rows[k][1].split("\n")[0] in out[k]
+    assert [out[100 + k] != [""] for k in range(20)] == [True] + [False] * 19
+    assert all(out[200 + k] == [rows[80 + k][1]] for k in range(30))
+    assert [out[300 + k] == [verbatim] for k in range(20)] == [True] + [False] * 19
+    assert len(out[400]) == 50 and [out[401 + k] != [""] for k in range(9)] == [True] + [False] * 8
+
+
 # --- 9: quality
 
 
