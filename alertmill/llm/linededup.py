@@ -10,7 +10,8 @@ boilerplate: all its lines but those of its first document go.
   least `agreement` of the leaf's documents, else a variable field); its own text with tokens with digits masked; and a
   chain of templates whose constant tokens are those of its tokens that at least so many documents have at their place,
   for each number from `documents` on, down to a text that recurs word for word. The other tokens are variable fields.
-* At least `match` of a line's tokens must be constant ones. A line belongs to the widest of its templates that is in at
+* At least `match` of a line's tokens must be constant ones, and at least `match` of those after the leading ones, which
+  the path has made equal; so short lines must recur word for word, but for tokens with digits. A line belongs to the widest of its templates that is in at
   least `documents` documents.
 
 Lines are parted by newlines and tokens by blanks; empty lines stay. The order "first" is by doc_id, nulls last, then by
@@ -58,14 +59,16 @@ def templates(kinds: DataFrame, by_token: DataFrame, leaves: DataFrame, depth: i
     rows = kinds.join(main, "leaf").join(chain, ["leaf", "same"], "left").withColumn("chain", F.coalesce("chain", F.array().cast(chain.schema["chain"].dataType)))
 
     n = F.size("tokens")
-    enough = lambda constant: constant >= match * n
-    agreed = F.filter(F.zip_with("tokens", "main", lambda t, c: t == c["token"]), lambda x: x)
+    beyond = lambda places: F.size(F.filter(places, lambda at: at >= depth))
+    # the path says nothing about the tokens after it
+    enough = lambda places: (F.size(places) >= match * n) & (beyond(places) >= match * (n - depth))
+    agreed = F.filter(F.zip_with("tokens", "main", lambda t, c: F.when(t == c["token"], c["at"])), lambda at: at.isNotNull())
     literal = F.filter("tokens", lambda t: ~t.rlike("[0-9]"))
     masked = F.transform("tokens", lambda t: F.when(t.rlike("[0-9]"), F.lit("<*>")).otherwise(t))
     # a prefix of the chain ends where the next token is in fewer documents
-    ends = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: enough(i) & ((i == F.size("chain")) | (F.get("chain", i)["less"] != F.get("chain", i - 1)["less"])))
+    ends = F.filter(F.sequence(F.lit(1), F.size("chain")), lambda i: enough(F.slice(F.col("chain.at"), 1, i)) & ((i == F.size("chain")) | (F.get("chain", i)["less"] != F.get("chain", i - 1)["less"])))
     chained = F.when(F.size("chain") > 0, F.transform(ends, lambda i: F.xxhash64(F.lit("chain"), F.slice("chain", 1, i)))).otherwise(F.array().cast("array<long>"))
-    wide = F.array(F.when(enough(F.size(agreed)), F.xxhash64(F.lit("main"))), F.when(enough(F.size(literal)), F.xxhash64(F.lit("masked"), masked)))
+    wide = F.array(F.when(enough(agreed), F.xxhash64(F.lit("main"))), F.when(F.size(literal) >= match * n, F.xxhash64(F.lit("masked"), masked)))
     return rows.select("leaf", "same", F.posexplode(F.filter(F.concat(wide, chained), lambda x: x.isNotNull())).alias("rank", "template"))
 
 

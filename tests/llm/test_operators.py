@@ -365,6 +365,16 @@ def test_a_leaf_holds_several_templates(spark):
     assert len(out[400]) == 50 and [out[401 + k] != [""] for k in range(9)] == [True] + [False] * 8
 
 
+def test_short_lines_with_a_common_opening_stay(spark):
+    rng = random.Random(6)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
+    rows = [(k, f"I want to {word()} {word()}\nSo we will {word()}") for k in range(20)]
+    rows += [(100 + k, f"I want to go home\nPage {k} of this book") for k in range(9)]
+    out = kept_lines(spark, rows)
+    assert all(out[k] == rows[k][1].split("\n") for k in range(20))
+    assert out[100] == rows[20][1].split("\n") and all(out[100 + k] == [""] for k in range(1, 9))
+
+
 # --- 9: quality
 
 
