@@ -1,21 +1,25 @@
 """Quality classifier by importance resampling.
 
-Method: two generative models of hashed n-grams, one of target text and one of the raw corpus; the logarithm of their
-ratio, a mean over a document's features, is its importance; Gumbel noise and a global top-k draw the sample.
+Method: two generative models of hashed n-grams, one of target text and one of the raw corpus. The logarithm of their
+ratio is a document's importance weight; Gumbel(0, 1) noise is added and the k largest sums are the sample, which draws k
+documents without replacement in proportion to their weights.
 
 Two feature sets make a ratio each: `words` (single words without marks: what is said) and `form` (words with their
 marks, single and in pairs: how it is written). A bucket counts only where target and raw counts differ by more than
-chance. Each ratio is scaled so that 0 is exceeded by a share `keep_target` of the labelled target documents and 1 is
-their median; the key is the lower one plus noise; k is the number of documents at 0 or above before noise.
+chance. The log weight is that of `weight_tokens` features of either set at the document's mean, so that a long document
+isn't drawn or left for its length alone.
 
-Target text: a bounded sample (`label_rows`) of labelled rows with quality 1 and toxic not 1. A quarter of it is held out
-of the counts, and the cuts are taken from its scores, as what a model has counted scores too high. Raw counts cover every
-document. Count vectors have a fixed size and are summed as streams; only they and a bounded sample of scores reach
-the driver. The k-th key is found by counting in ever narrower bins, so that nothing is sorted in one place.
+The sample asked for is `sample_share` of all documents; where that is not given, `asked` times the share of target
+documents among the labelled ones.
+
+Target text: a bounded sample (`label_rows`) of labelled rows with quality 1 and toxic not 1. Raw counts cover every
+document. Count vectors have a fixed size and are summed as streams; only they reach the driver. The k-th key is found by
+counting in ever narrower bins, so that nothing is sorted in one place.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,12 +35,13 @@ from alertmill.llm.common import MARKS, SPACE, pieces_of, row_key, shingles, utf
 class Settings:
     word_buckets: int = 1 << 20
     form_buckets: int = 1 << 16
-    word_chance: float = 4.0  # standard deviations that a bucket must differ by
-    form_chance: float = 2.0
-    prior: float = 0.01  # raw text mixed into the target's counts
+    word_chance: float = 2.5  # standard deviations that a bucket must differ by
+    form_chance: float = 3.0
+    prior: float = 0.001  # raw text mixed into the target's counts
     label_rows: int = 20_000
-    keep_target: float = 0.99
-    temperature: float = 0.01
+    weight_tokens: int = 256
+    sample_share: float | None = None
+    asked: float = 0.98
     seed: int = 17
 
 
@@ -59,12 +64,15 @@ def features(texts: pa.Array, s: Settings) -> Iterator[tuple[int, int, np.ndarra
         yield a, b, (plain % np.uint64(s.word_buckets)).astype(np.int64), plain_at, both, both_at
 
 
+def one_label(labels: DataFrame) -> DataFrame:
+    """doc_id and is_good of each labelled document. A document labelled more than once counts by its worst label."""
+    own = labels.filter(F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
+    return own.select("doc_id", (F.coalesce(F.col("quality") == 1, F.lit(False)) & (F.coalesce("toxic", F.lit(0)) != 1)).alias("is_good"))
+
+
 def target_rows(labels: DataFrame, s: Settings) -> DataFrame:
-    """At most label_rows doc_ids of target text, counted or held out. A document labelled more than once counts by its
-    worst label."""
-    own = labels.filter(F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    good = own.filter((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) != 1))
-    return good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.label_rows).select("doc_id", (F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(4)) == 0).alias("is_held"))
+    """At most label_rows doc_ids of target text."""
+    return one_label(labels).filter("is_good").orderBy(F.xxhash64("doc_id"), "doc_id").limit(s.label_rows).select("doc_id")
 
 
 def count_features(docs: DataFrame, s: Settings) -> DataFrame:
@@ -158,36 +166,30 @@ def threshold(keys: DataFrame, k: int) -> float:
 
 
 class Classifier:
-    """Models and cuts fitted to docs and labels; answers for any rows of docs."""
+    """Models fitted to docs and labels, and the least key of the sample; answers for any rows of docs."""
 
     def __init__(self, docs: DataFrame, labels: DataFrame, settings: Settings | None = None):
         s = self.settings = settings or Settings()
         spark: SparkSession = docs.sparkSession
         own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        marked = own.join(F.broadcast(target_rows(labels, s)), "doc_id", "left")
-        marked = marked.withColumns({"is_target": F.coalesce(~F.col("is_held"), F.lit(False)), "is_held": F.coalesce("is_held", F.lit(False))})
+        marked = own.join(F.broadcast(target_rows(labels, s).withColumn("is_target", F.lit(True))), "doc_id", "left")  # at most label_rows
         self.words, self.form = (spark.sparkContext.broadcast(r) for r in ratios(count_features(marked, s), s))
-        self.scored = written(importance(marked.select("doc_id", *row_key("doc_id", "text"), "is_target", "is_held", "text"), self.words, self.form, s).drop("text"), "scores")
-        cuts = f"array({1 - s.keep_target}, 0.5)"
-        found = {}
-        for which in ("is_held", "is_target"):  # all counted ones, where none is held out
-            found = self.scored.filter(which).agg(*(F.expr(f"percentile({c}, {cuts})").alias(c) for c in ("score_words", "score_form"))).first()
-            if found["score_words"]:
-                break
-        self.cuts = {c: found[c] for c in ("score_words", "score_form")}
+        self.scored = written(importance(own.select("doc_id", *row_key("doc_id", "text"), "text"), self.words, self.form, s).drop("text"), "scores")
+        share = s.sample_share
+        if share is None:
+            labelled, good = one_label(labels).agg(F.count("*"), F.count_if("is_good")).first()
+            share = s.asked * good / labelled if good else 1.0
         keyed = self.keyed(self.scored)
-        self.least = threshold(keyed, keyed.filter(F.col("base") >= 0).count())
+        self.least = threshold(keyed, math.ceil(share * keyed.count()))
 
     def keyed(self, scored: DataFrame) -> DataFrame:
-        """Adds base and key to rows with scores, k1 and k2."""
-        parts = []
-        for c, cut in self.cuts.items():
-            parts.append((F.col(c) - F.lit(cut[0])) / F.lit(max(cut[1] - cut[0], 1e-6)) if cut else F.lit(1.0))
+        """Adds log_weight and key to rows with scores, k1 and k2. The noise goes by the row's content."""
+        weight = self.settings.weight_tokens * (F.col("score_words") + F.col("score_form"))
         uniform = (F.pmod(F.xxhash64("k1", "k2", F.lit(self.settings.seed)), F.lit(1 << 52)) + 0.5) / float(1 << 52)
-        return scored.withColumn("base", F.least(*parts)).withColumn("key", F.col("base") - self.settings.temperature * F.log(-F.log(uniform)))
+        return scored.withColumn("log_weight", weight).withColumn("key", F.col("log_weight") - F.log(-F.log(uniform)))
 
     def answers(self) -> DataFrame:
-        return self.keyed(self.scored).select("doc_id", "score_words", "score_form", "key", (F.col("key") >= self.least).alias("keep"))
+        return self.keyed(self.scored).select("doc_id", "score_words", "score_form", "log_weight", "key", (F.col("key") >= self.least).alias("keep"))
 
     def kept(self, docs: DataFrame) -> DataFrame:
         """The rows of docs that are kept. They are scored anew where they lie, which costs less than a join."""
@@ -197,10 +199,11 @@ class Classifier:
 
 
 def classify(docs: DataFrame, labels: DataFrame, settings: Settings | None = None) -> DataFrame:
-    """doc_id, score_words, score_form, key and keep for each row of docs.
+    """doc_id, score_words, score_form, log_weight, key and keep for each row of docs.
 
-    A null or empty text has no features, scores 0 and 0 and is kept or not by those; repeated rows get equal answers;
-    ties at the k-th key are all kept; without any target label everything is kept. Other columns are ignored."""
+    A null or empty text has no features and a log weight of 0; repeated rows get equal answers; ties at the k-th key are
+    all kept; without any target label everything is kept; very long texts are counted whole, in pieces of a bounded size.
+    Other columns are ignored."""
     return Classifier(docs, labels, settings).answers()
 
 

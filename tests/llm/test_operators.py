@@ -396,6 +396,46 @@ def test_classifier_on_held_out_rows(spark):
     assert quality.classify(docs, labels.limit(0), s).filter("keep").count() == len(rows)
 
 
+def test_sample_is_that_of_a_brute_force_sampler(spark):
+    rng = random.Random(18)
+    rows = [(i, prose(rng, rng.randrange(1, 60), 80) + (" scum." * rng.randrange(3) if i % 4 == 0 else "")) for i in range(200)] + ODD
+    rows += [(300, prose(rng, 60_000, 90)), (7, rows[7][1])]
+    labels = [(i, int(i % 5 > 0), int(i % 4 == 0)) for i in range(0, 200, 2)]
+    docs = documents(spark, rows)
+    s = quality.Settings(word_buckets=1 << 12, form_buckets=1 << 11, sample_share=0.4, label_rows=30, weight_tokens=20)
+    of_labels = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    target = {r["doc_id"] for r in quality.target_rows(of_labels, s).collect()}
+    assert len(target) == 30 and target <= {i for i, q, t in labels if q and not t}
+    found = []
+    for _, text in rows:
+        own = Counter(), Counter()
+        for _, _, w, _, f, _ in quality.features(pa.array([text], pa.string()), s):
+            own[0].update(w.tolist())
+            own[1].update(f.tolist())
+        found.append(own)
+    weight = np.zeros(len(rows))
+    for k, (size, chance) in enumerate(((s.word_buckets, s.word_chance), (2 * s.form_buckets, s.form_chance))):
+        raw, good = Counter(), Counter()
+        for (doc_id, _), own in zip(rows, found, strict=True):
+            raw.update(own[k])
+            good.update(own[k] if doc_id in target else {})
+        n, total, ratio = sum(good.values()), sum(raw.values()), {}
+        for b, r in raw.items():
+            q = (r + 1) / (total + size)
+            far = abs(good[b] - n * q) > chance * (n * q + 1) ** 0.5
+            ratio[b] = np.log((good[b] + (s.prior * n + 1) * q) / (n + s.prior * n + 1) / q) if far else 0
+        for i, own in enumerate(found):
+            weight[i] += s.weight_tokens * sum(ratio[b] * m for b, m in own[k].items()) / max(1, sum(own[k].values()))
+    got = quality.classify(docs, of_labels, s).collect()
+    noise = [r["key"] - r["log_weight"] for r in got]
+    assert abs(np.mean(noise) - 0.5772) < 0.3 and 0.9 < np.std(noise) < 1.7
+    assert np.allclose(sorted(r["log_weight"] for r in got), sorted(weight), atol=1e-3)
+    least = sorted((r["key"] for r in got), reverse=True)[int(np.ceil(0.4 * len(rows))) - 1]
+    assert all(r["keep"] == (r["key"] >= least) for r in got)
+    by_weight = sorted((r["log_weight"] for r in got), reverse=True)[int(np.ceil(0.4 * len(rows))) - 1]
+    assert any(r["keep"] != (r["log_weight"] >= by_weight) for r in got)  # the noise takes part
+
+
 def test_threshold_is_the_kth_key(spark):
     rng = random.Random(3)
     keys = [rng.gauss(0, 1) for _ in range(3000)] + [0.5] * 40
