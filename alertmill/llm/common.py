@@ -106,6 +106,13 @@ def utf8(texts) -> tuple[np.ndarray, np.ndarray]:
     return data[bounds[0] : bounds[-1]], bounds - bounds[0]
 
 
+def text_bounds(texts) -> np.ndarray:
+    """The bounds in bytes of each text of an Arrow array; null is empty."""
+    import pyarrow.compute as pc
+
+    return np.concatenate([[0], np.cumsum(np.asarray(pc.fill_null(pc.binary_length(texts), 0), np.int64))])
+
+
 def pieces_of(bounds: np.ndarray, most: int = 1 << 20) -> list[tuple[int, int]]:
     """Runs of rows with about so many bytes; a longer row stands alone."""
     out, a = [], 0

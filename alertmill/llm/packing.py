@@ -21,13 +21,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import written
+from alertmill.llm.common import pieces_of, text_bounds, written
 
 CAPACITY = 4096
 END_ID = 1
 GROUP_ITEMS = 20_000
-#: Words kept by a Python worker, in each of two generations.
-CACHE_WORDS = 600_000
+#: Bytes of words and their ids that a Python worker keeps, in each of two generations, each word counted with WORD_BYTES.
+CACHE_BYTES = 50_000_000
+WORD_BYTES = 130
+#: Bytes of text that are split into words at a time; a longer text stands alone.
+SLICE_BYTES = 3 << 20
 LONG_WORD = 64
 #: Control characters on which libraries disagree whether they are white space.
 ODD_SPACE = "[\x1c-\x1f᠎​﻿]"
@@ -35,19 +38,20 @@ ODD_SPACE = "[\x1c-\x1f᠎​﻿]"
 
 class WordTokenizer:
     """Token ids by whole words. The tokenizer drops white space and never joins across it, so the ids of a
-    text are those of its words in turn; words repeat, so their ids are kept."""
+    text are those of its words in turn; words repeat, so their ids are kept, as bytes of a bounded sum."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.young: dict[str, np.ndarray] = {}
-        self.old: dict[str, np.ndarray] = {}
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.size = 0
 
     def encode(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
-    def word(self, w: str) -> np.ndarray:
+    def word(self, w: str) -> bytes:
         ids = self.young.get(w)
         if ids is not None:
             return ids
@@ -55,19 +59,20 @@ class WordTokenizer:
         if ids is None:
             ids = self._fresh(w)
         if len(w) <= LONG_WORD:
-            if len(self.young) >= CACHE_WORDS:
-                self.old, self.young = self.young, {}
+            if self.size >= CACHE_BYTES:
+                self.old, self.young, self.size = self.young, {}, 0
             self.young[w] = ids
+            self.size += WORD_BYTES + len(ids)
         return ids
 
-    def _fresh(self, w: str) -> np.ndarray:
+    def _fresh(self, w: str) -> bytes:
         if w.isascii() or _latin(w):
             low = w.lower()
             if low != w:
                 return self.word(low)
             if len(w) > 1 and w[-1] in ".," and w[:-1].isalpha():
-                return np.concatenate([self.word(w[:-1]), self.word(w[-1])])
-        return self.encode(w)
+                return self.word(w[:-1]) + self.word(w[-1])
+        return self.encode(w).tobytes()
 
     def texts(self, texts: pa.Array) -> list[np.ndarray]:
         """The ids of each text; null is an empty text."""
@@ -80,8 +85,8 @@ class WordTokenizer:
         out = [np.empty(0, "<u4")] * len(texts)
         if len(coded):
             each = [self.word(w) for w in coded.dictionary.to_pylist()]
-            sizes = np.fromiter(map(len, each), np.int64, len(each))
-            flat, begins = np.concatenate(each), np.cumsum(sizes) - sizes
+            sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+            flat, begins = np.frombuffer(b"".join(each), "<u4"), np.cumsum(sizes) - sizes
             code = np.asarray(coded.indices)
             first = ends[0]
             for i in range(len(texts)):
@@ -126,8 +131,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
         tokenizer = word_tokenizer(tokenizer_path)
         end = np.array([end_id], dtype="<u4")
         for batch in batches:
-            for at in range(0, batch.num_rows, 2000):
-                part = batch.slice(at, 2000)
+            for a, b in pieces_of(text_bounds(batch.column(1)), SLICE_BYTES):
+                part = batch.slice(a, b - a)
                 rows: list[tuple] = []
                 for doc_id, ids in zip(part.column(0).to_pylist(), tokenizer.texts(part.column(1)), strict=True):
                     ids = np.concatenate([ids, end])
@@ -135,6 +140,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                         own = ids[start : start + capacity]
                         rows.append((doc_id, k, start, len(own), zlib.crc32(own.tobytes())))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        pa.default_memory_pool().release_unused()
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(cut, PIECES)
 
