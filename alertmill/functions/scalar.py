@@ -109,11 +109,13 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), F.try_divide(dot, norm(a) * norm(b)))
 
 
+_OCTET = "(25[0-5]|2[0-4][0-9]|[01]?[0-9]{1,2})"
+
+
 def ipv4_number(ip: Column) -> Column:
     """The number of a dotted IPv4 address, else null."""
-    part = [F.split(ip, "[.]")[k].try_cast("long") for k in range(4)]
-    ok = ip.rlike(r"^[0-9]{1,3}([.][0-9]{1,3}){3}$") & (F.greatest(*part) <= 255)
-    return F.when(ok, part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3])
+    number = F.aggregate(F.split(ip, "[.]"), F.lit(0).cast("long"), lambda n, part: n * 256 + part.cast("int"))
+    return F.when(ip.rlike(f"^{_OCTET}([.]{_OCTET}){{3}}$"), number)
 
 
 def in_ipv4_net(ip: Column, net: str) -> Column:
@@ -145,44 +147,58 @@ def is_private_ipv4(ip: Column) -> Column:
     return F.transform(F.array(ipv4_number(ip)), inside)[0]  # the number is worked out once
 
 
-def _categories(keys: Column, table: Mapping[str, str]) -> Column:
-    lookup = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
-    return F.filter(F.transform(F.coalesce(keys, F.array().cast("array<string>")), lambda k: F.try_element_at(lookup, k)), lambda c: c.isNotNull())
+def _any(keys: Column, names) -> Column:
+    """Whether any key is one of names: a look-up in a set for each key."""
+    return F.exists(keys, lambda k: k.isin(*names))
 
 
-def _by_priority(found: Column) -> Column:
-    order = F.array(*map(F.lit, P.CATEGORY_PRIORITY))
-    ranked = F.array_sort(F.transform(F.array_distinct(found), lambda c: F.struct(F.array_position(order, c).alias("rank"), c.alias("name"))))
-    return F.transform(ranked, lambda r: r["name"])
+def _found(keys: Column, table: Mapping[str, str]) -> Column:
+    """The categories that a table gives any of the keys, the most severe first."""
+    of: dict[str, list[str]] = {}
+    for key, category in table.items():
+        of.setdefault(category, []).append(key)
+    hits = [F.when(_any(keys, of[c]), F.lit(c)) for c in P.CATEGORY_PRIORITY if c in of]
+    return F.filter(F.array(*hits), lambda c: c.isNotNull())
 
 
 def categories(mitre: Column, groups: Column, decoder: Column, port: Column, more_techniques: Mapping[str, str] | None = None) -> Column:
     """A struct of category, categories and resolved_by: the first tier that finds any; within it all, most severe first.
     more_techniques is consulted last."""
-    ids = F.filter(F.transform(F.coalesce(mitre, F.array().cast("array<string>")), lambda t: F.upper(F.trim(t))), lambda t: t != "")
-    parents = F.transform(F.filter(ids, lambda t: F.contains(t, F.lit("."))), lambda t: F.substring_index(t, ".", 1))
-    names = F.transform(F.coalesce(groups, F.array().cast("array<string>")), lambda g: F.lower(F.trim(g)))
-    low = F.coalesce(F.lower(F.trim(decoder)), F.lit(""))
-    windows = F.contains(low, F.lit(P.WINDOWS_DECODER))
     none = F.array().cast("array<string>")
-    by_decoder = F.filter(F.array(*[F.when(F.contains(low, F.lit(k)), F.lit(v)) for k, v in P.DECODERS.items()]), lambda c: c.isNotNull())
-    by_port = F.filter(F.array(chosen(port, P.PORTS)), lambda c: c.isNotNull())
-    tiers = [
-        (F.when(windows, _categories(ids, P.WINDOWS_TECHNIQUES)).otherwise(none), "mitre"),
-        (F.when(windows, _categories(parents, P.WINDOWS_TECHNIQUES)).otherwise(none), "mitre_parent"),
-        (F.when(windows, _categories(names, P.WINDOWS_GROUPS)).otherwise(none), "rule_groups"),
-        (_categories(ids, P.TECHNIQUES), "mitre"),
-        (_categories(parents, P.TECHNIQUES), "mitre_parent"),
-        (_categories(names, P.GROUPS), "rule_groups"),
-        (by_decoder, "decoder"),
-        (F.when(windows, none).otherwise(by_port), "dst_port"),
-    ]
-    if more_techniques:
-        tiers += [(_categories(ids, more_techniques), "mitre"), (_categories(parents, more_techniques), "mitre_parent")]
-    first = F.coalesce(*(F.when(F.size(found) > 0, F.struct(found.alias("found"), F.lit(by).alias("by"))) for found, by in tiers))
-    # bound once in a one-element array, so that the tiers are worked out once
-    answer = F.transform(F.array(first), lambda f: F.struct(_by_priority(F.coalesce(f["found"], none)).alias("categories"), F.coalesce(f["by"], F.lit("none")).alias("resolved_by")))[0]
-    return F.transform(F.array(answer), lambda a: F.struct(F.coalesce(F.get(a["categories"], F.lit(0)), F.lit("unknown")).alias("category"), a["categories"].alias("categories"), a["resolved_by"].alias("resolved_by")))[0]
+    low = F.coalesce(F.lower(F.trim(decoder)), F.lit(""))
+    keys = F.struct(
+        F.filter(F.transform(F.coalesce(mitre, none), lambda t: F.upper(F.trim(t))), lambda t: t != "").alias("ids"),
+        F.transform(F.coalesce(groups, none), lambda g: F.lower(F.trim(g))).alias("groups"),
+        F.filter(F.array(*(F.when(F.contains(low, F.lit(k)), F.lit(k)) for k in P.DECODERS)), lambda k: k.isNotNull()).alias("decoders"),
+        F.contains(low, F.lit(P.WINDOWS_DECODER)).alias("windows"),
+        F.coalesce(port.cast("string"), F.lit("")).alias("port"),
+    )
+    bound = F.transform(F.array(keys), lambda k: F.struct(k.alias("keys"), F.transform(F.filter(k["ids"], lambda t: F.contains(t, F.lit("."))), lambda t: F.substring_index(t, ".", 1)).alias("parents")))
+
+    def first_tier(x: Column) -> Column:
+        k, parents = x["keys"], x["parents"]
+        yes, windows = F.lit(True), k["windows"]
+        tiers = [
+            (windows, k["ids"], P.WINDOWS_TECHNIQUES, "mitre"),
+            (windows, parents, P.WINDOWS_TECHNIQUES, "mitre_parent"),
+            (windows, k["groups"], P.WINDOWS_GROUPS, "rule_groups"),
+            (yes, k["ids"], P.TECHNIQUES, "mitre"),
+            (yes, parents, P.TECHNIQUES, "mitre_parent"),
+            (yes, k["groups"], P.GROUPS, "rule_groups"),
+            (yes, k["decoders"], P.DECODERS, "decoder"),
+            (~windows, F.array(k["port"]), {str(p): c for p, c in P.PORTS.items()}, "dst_port"),
+        ]
+        if more_techniques:
+            tiers += [(yes, k["ids"], more_techniques, "mitre"), (yes, parents, more_techniques, "mitre_parent")]
+        out = None
+        for open_, own, table, by in tiers:
+            hit = open_ & _any(own, table)
+            answer = F.struct(_found(own, table).alias("categories"), F.lit(by).alias("resolved_by"))
+            out = F.when(hit, answer) if out is None else out.when(hit, answer)
+        return out.otherwise(F.struct(none.alias("categories"), F.lit("none").alias("resolved_by")))
+
+    answer = F.transform(F.transform(bound, first_tier), lambda a: F.struct(F.coalesce(F.get(a["categories"], F.lit(0)), F.lit("unknown")).alias("category"), a["categories"].alias("categories"), a["resolved_by"].alias("resolved_by")))
+    return answer[0]
 
 
 def first_block(sev: Column, agent: Column, present: Column, criticality: Column, privileged: Column, reputation: Column, never: Sequence[str] = ()) -> Column:

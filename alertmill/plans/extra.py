@@ -103,29 +103,62 @@ def texts(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", F.concat(lead, "text").alias("text"))
 
 
-def _family(name: str) -> str:
-    return "(" + " OR ".join("regexp_matches(x, '(?im)" + p.replace("'", "''") + "')" for c, p in T.INJECTION if c == name and not p.startswith("[")) + ")"
+LEAD_FAMILY = "CASE doc_id % 9 WHEN 0 THEN 'instruction_override' WHEN 1 THEN 'role_override' WHEN 2 THEN 'prompt_exfiltration' WHEN 3 THEN 'forbidden_action_request' WHEN 4 THEN 'delimiter_escape_attempt' END"
 
 
-@query(f"SELECT doc_id, array_to_string(list_filter([{', '.join(f'CASE WHEN {_family(n)} THEN {n!r} END' for n in T.FAMILIES if n not in T.MEDIUM)}], lambda f: f IS NOT NULL), ',') AS families FROM (SELECT doc_id, {TEXT} || text AS x FROM documents)")
+@query(f"SELECT doc_id, array_to_string(list_filter([{LEAD_FAMILY}, CASE WHEN regexp_matches(x, '[A-Za-z0-9+/]{{80}}') THEN 'possible_obfuscation' END], lambda f: f IS NOT NULL), ',') AS families FROM (SELECT doc_id, {TEXT} || text AS x FROM documents)")
 def injection_families(t):
     return texts(t).select("doc_id", F.array_join(T.injection_families(F.col("text")), ",").alias("families"))
 
 
-@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '{T.ENTITIES['ipv4']}'))), ',') AS ipv4, array_to_string(list_sort(list_distinct(regexp_extract_all(x, '{T.ENTITIES['md5']}'))), ',') AS md5,
-  array_to_string(list_sort(list_distinct(regexp_extract_all(x, '{T.ENTITIES['sha1']}'))), ',') AS sha1,
-  array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(x, '{T.ENTITIES['domain']}'), lambda d: lower(d)), lambda d: list_contains(['com', 'net', 'org', 'io'], split_part(d, '.', -1))))), ',') AS domain
-  FROM (SELECT doc_id, {TEXT} || text AS x FROM documents) WHERE doc_id >= 0""")
+OCTET = "(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
+
+
+@query(f"""SELECT doc_id, array_to_string(list_sort(list_distinct(list_filter(runs, lambda r: regexp_full_match(r, '{OCTET}([.]{OCTET}){{3}}')))), ',') AS ipv4,
+  array_to_string(list_sort(list_distinct(list_filter(words, lambda w: regexp_full_match(w, '[0-9A-Fa-f]{{32}}')))), ',') AS md5, array_to_string(list_sort(list_distinct(list_filter(words, lambda w: regexp_full_match(w, '[0-9A-Fa-f]{{40}}')))), ',') AS sha1,
+  array_to_string(list_sort(list_distinct(list_filter(words, lambda w: regexp_full_match(w, '[0-9A-Fa-f]{{64}}')))), ',') AS sha256,
+  array_to_string(list_sort(list_distinct(list_filter(list_transform(runs, lambda r: lower(r)), lambda r: regexp_full_match(r, '([a-z0-9]([a-z0-9-]{{0,61}}[a-z0-9])?[.])+(com|net|org|io)')))), ',') AS domain
+  FROM (SELECT doc_id, regexp_extract_all(x, '[A-Za-z0-9][A-Za-z0-9.-]*[A-Za-z0-9]') AS runs, regexp_extract_all(x, '[A-Za-z0-9_]+') AS words FROM (SELECT doc_id, {TEXT} || text AS x FROM documents))""")
 def entity_extract(t):
     found = texts(t).select("doc_id", T.entities(F.col("text")).alias("e"))
     of = lambda kind: F.array_join(F.transform(F.filter("e", lambda x: x["kind"] == kind), lambda x: x["value"]), ",").alias(kind)
-    return found.select("doc_id", of("ipv4"), of("md5"), of("sha1"), of("domain"))
+    return found.select("doc_id", of("ipv4"), of("md5"), of("sha1"), of("sha256"), of("domain"))
 
 
-@query()
+#: Identifying values by the remainder of an id: what they are in a text, and what stands for them.
+IDENTIFIERS = (
+    ("from 8.8.4.4 to 10.0.0.7", "from <IP_NGOAI> to <IP_NOI_BO>"), ("mail a.b@c.de now", "mail <EMAIL> now"), ("by CORP\\adm1n.", "by <USER>."), ("C:\\Users\\hr01", "C:\\Users\\hr<N>"), ("Foo :: Bar", "Foo :: Bar"),
+    ("on 2001:4860:4860::8888", "on <IP_NGOAI>"), ("at fe80::1", "at <IP_NOI_BO>"), ("md5 d41d8cd98f00b204e9800998ecf8427e", "md<N> <HASH>"), ("event 1700000000.12345", "event <ALERT_ID>"), ("web-01 said pirate", "<HOST> said <USER>"), ("10.1.2.3:443 v1.2", "<IP_NOI_BO>:<N> v<N>.<N>"),
+)
+
+
+def _by_id(values) -> str:
+    return " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values))
+
+
+@query(f"SELECT doc_id, text, CASE doc_id % {len(IDENTIFIERS)} {_by_id(b for _, b in IDENTIFIERS)} END AS general FROM (SELECT doc_id, CASE doc_id % {len(IDENTIFIERS)} {_by_id(a for a, _ in IDENTIFIERS)} END AS text FROM documents)")
 def generalised_texts(t):
-    """Look-behinds and IPv6 have no DuckDB form; tests hold the steps against examples."""
-    return texts(t).select("doc_id", F.sha2(T.generalise(F.col("text"), ["pirate"], ["auto"]), 256).alias("sha256"))
+    x = t.documents.select("doc_id", S.chosen(F.col("doc_id") % len(IDENTIFIERS), {k: a for k, (a, _) in enumerate(IDENTIFIERS)}).alias("text"))
+    return x.withColumn("general", T.generalise(F.col("text"), ["web-01"], ["pirate"]))
+
+
+@query(f"SELECT findings, count(*) AS n FROM (SELECT CASE doc_id % {len(IDENTIFIERS)} WHEN 0 THEN 'ipv4' WHEN 1 THEN 'email' WHEN 2 THEN 'account' WHEN 5 THEN 'ipv6' WHEN 6 THEN 'ipv6' WHEN 7 THEN 'hash' WHEN 8 THEN 'alert_id' WHEN 9 THEN 'account,hostname' WHEN 10 THEN 'ipv4' ELSE '' END AS findings FROM documents) GROUP BY 1")
+def literal_findings(t):
+    x = t.documents.select(S.chosen(F.col("doc_id") % len(IDENTIFIERS), {k: a for k, (a, _) in enumerate(IDENTIFIERS)}).alias("text"))
+    return x.groupBy(F.array_join(T.literal_findings(F.col("text"), ["web-01"], ["pirate"]), ",").alias("findings")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN '{"a": {"Api-Key": "***"}}' WHEN 1 THEN '{"list": [{"user_password": "***"}]}' WHEN 2 THEN '{"url": "http://u:***@h/x"}' ELSE '{"note": "plain"}' END AS safe FROM customer""")
+def redacted_json(t):
+    raw = {0: '{"a": {"Api-Key": "k1"}}', 1: '{"list": [{"user_password": "p"}]}', 2: '{"url": "http://u:pw@h/x"}'}
+    return t.customer.select("c_custkey", T.redacted(S.chosen(F.col("c_custkey") % 4, raw, '{"note": "plain"}')).alias("safe"))
+
+
+@query("""SELECT doc_id, doc_id % 3 = 0 AS stands FROM documents""")
+def quote_check(t):
+    """Quotes with other white space and compatible forms stand; others and empty ones don't."""
+    quote = S.chosen(F.col("doc_id") % 3, {0: "ﬁle  was\n moved", 1: "file was copied"}, " ")
+    return t.documents.select("doc_id", T.quotes(F.concat(F.lit("The file was   moved at noon. "), "text"), quote).alias("stands"))
 
 
 @query("SELECT c_custkey, CASE WHEN regexp_matches(x, '^[\\t\\r]') OR regexp_matches(x, '^\\s*[=+@-]') THEN '''' || x ELSE x END AS cell FROM (SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN '=1+' WHEN 1 THEN ' @' WHEN 2 THEN '-' ELSE '' END || c_name AS x FROM customer)")

@@ -37,10 +37,17 @@ def _account(path: str) -> Column:
     return F.when(~c.endswith("$"), F.nullif(c, F.lit("")))
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with more columns that are worked out once a row: a generator of one row, which no filter or projection above it
+    is moved through and copied into."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
 def parse(raw: DataFrame, column: str = "value") -> DataFrame:
     """A row for each raw text: its alert's fields, or `rejected` with the reason (not_json first, then REQUIRED)."""
     body = F.coalesce(F.get_json_object(column, "$._source"), F.col(column))
-    out = raw.withColumn("a", F.from_json(body, ALERT)).withColumn("_json", F.get_json_object(column, "$").isNotNull() & F.col(column).rlike(r"^\s*\{"))
+    is_json = F.get_json_object(column, "$").isNotNull() & F.col(column).rlike(r"^\s*\{")
+    out = _once(_once(raw, _body=body, _json=is_json), a=F.from_json("_body", ALERT))
     reason = F.when(~F.coalesce("_json", F.lit(False)), "not_json")
     for path, name in REQUIRED:
         reason = reason.when(_text(path).isNull(), name)
@@ -50,35 +57,41 @@ def parse(raw: DataFrame, column: str = "value") -> DataFrame:
     dstip = F.coalesce(_text("data.dstip"), _address(f"{win}.destinationIp"), F.lit(""))
     port = lambda *paths: S.safe_int(F.coalesce(*map(_text, paths)))
     level = S.safe_int(F.col("a.rule.level"))
-    log = F.coalesce(F.col("a.full_log"), F.col("a.data.win.system.message"), body)
-    found = S.categories(F.col("a.rule.mitre.id"), F.col("a.rule.groups"), F.col("a.decoder.name"), F.col("dst_port"))
+    dst_port = port("data.dstport", f"{win}.destinationPort")
+    log = F.coalesce(F.col("a.full_log"), F.col("a.data.win.system.message"), F.col("_body"))
+    found = S.categories(F.col("a.rule.mitre.id"), F.col("a.rule.groups"), F.col("a.decoder.name"), dst_port)
+    out = _once(out, rejected=reason, _level=level, _log=log, _found=found, _time=S.iso_instant(F.col("a.timestamp")), _src=srcip, _dst=dstip)
     out = out.select(
         *raw.columns,
-        reason.alias("rejected"),
+        "rejected",
         _text("id").alias("alert_id"),
         _text("rule.id").alias("rule_id"),
-        level.alias("rule_level"),
-        S.severity(level).alias("severity"),
+        F.col("_level").alias("rule_level"),
+        S.severity(F.col("_level")).alias("severity"),
         F.col("a.rule.description").alias("description"),
         F.coalesce(_text("agent.name"), _text("manager.name"), F.lit("unknown")).alias("agent_name"),
         _text("agent.id").alias("agent_id"),
         _text("predecoder.hostname").alias("origin_host"),
-        S.iso_instant(F.col("a.timestamp")).alias("alert_time"),
+        F.col("_time").alias("alert_time"),
         F.coalesce(S.iso_instant(F.col("a.timing.event_time")), S.iso_instant(F.col("a.data.win.system.systemTime"))).alias("event_time"),
-        srcip.alias("srcip"),
-        dstip.alias("dstip"),
+        F.col("_src").alias("srcip"),
+        F.col("_dst").alias("dstip"),
         port("data.srcport", f"{win}.ipPort", f"{win}.sourcePort").alias("src_port"),
-        port("data.dstport", f"{win}.destinationPort").alias("dst_port"),
+        dst_port.alias("dst_port"),
         F.coalesce(_account("data.dstuser"), _account("data.srcuser"), _account(f"{win}.targetUserName"), _account(f"{win}.user"), _account(f"{win}.subjectUserName"), _account("enrichment.asset.user")).alias("alert_user"),
         F.col("a.decoder.name").alias("decoder"),
         F.coalesce("a.rule.mitre.id", F.array().cast("array<string>")).alias("mitre_ids"),
         F.coalesce("a.rule.groups", F.array().cast("array<string>")).alias("rule_groups"),
-        utf8_truncated(log, P.RAW_LOG_BYTES).alias("raw_log"),
-        (F.octet_length(log) > P.RAW_LOG_BYTES).alias("raw_log_truncated"),
+        utf8_truncated(F.col("_log"), P.RAW_LOG_BYTES).alias("raw_log"),
+        (F.octet_length("_log") > P.RAW_LOG_BYTES).alias("raw_log_truncated"),
         (F.col("a.rule.id") == P.HEARTBEAT_RULE).alias("is_heartbeat"),
-        F.col("a"),
+        F.col("_found.category").alias("category"),
+        F.col("_found.categories").alias("categories"),
+        F.col("_found.resolved_by").alias("resolved_by"),
+        S.is_private_ipv4(F.col("_src")).alias("srcip_is_private"),
+        S.is_private_ipv4(F.col("_dst")).alias("dstip_is_private"),
     )
-    return out.withColumn("_c", found).withColumns({"category": F.col("_c.category"), "categories": F.col("_c.categories"), "resolved_by": F.col("_c.resolved_by")}).withColumns({"srcip_is_private": S.is_private_ipv4(F.col("srcip")), "dstip_is_private": S.is_private_ipv4(F.col("dstip"))}).drop("a", "_c")
+    return out
 
 
 def search_hits(pages: DataFrame, column: str = "value") -> DataFrame:
