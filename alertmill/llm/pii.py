@@ -26,12 +26,14 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-SCHEME = re.compile(r"[A-Za-z][A-Za-z0-9+.-]*$")
+SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
 #: An address after a scheme is personal where it holds a login: user[:password]@host.
 LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=:-]++@[A-Za-z0-9.-]++(?::[0-9]++)?(?:[/?#][^\s\"'<>]*+)?")
-CUES = ("iban", "account", "acct", "ssn", "passport", "token", "password", "api_key", "apikey", "secret", "konto", "cuenta", "compte")
-VALUE = re.compile(r"(?:[ ]?(?:no\.?|number|id|#))?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_-]{5,127})(?![A-Za-z0-9_-])")
-IBAN = re.compile(r"[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
+#: Cues of an identifier or a secret, in lower case; a longer name may end in one (access_token, apiKey).
+CUES = ("iban", "account", "acct", "ssn", "passport", "token", "password", "passwd", "api_key", "api-key", "apikey", "secret", "konto", "cuenta", "compte")
+#: Between a cue and its value: an end of a quoted key, a word such as "no.", and a mark.
+VALUE = re.compile(r"[\"']?(?:[ _-]?(?:no\.?|number|id|key|#))?[\"']?[ ]{0,2}(?:=>|[:=#])?[ ]{0,2}[\"']?([A-Za-z0-9][A-Za-z0-9_+/.=-]{4,}+)")
+IBAN = re.compile(r"[\"']?[ ]{0,2}[:=#]?[ ]{0,2}[\"']?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])")
 
 _automaton = None
 
@@ -47,13 +49,28 @@ def automaton():
         anchors |= {f"{a}.{b}": "ip" for a in DIGITS for b in DIGITS}
         anchors |= {f"{a}{s}{b}": "card" for a in DIGITS for b in DIGITS for s in ("", " ", "-")}
         anchors |= {f"+{a}": "phone" for a in DIGITS}
-        anchors |= {form: "account" for cue in CUES for form in (cue, cue.upper(), cue.capitalize())}
+        anchors |= {cue: "account" for cue in CUES}
         for s, kind in anchors.items():
             _automaton.add_word(s, (kind, len(s)))
         _automaton.make_automaton()
     return _automaton
 
 
+#: ASCII capitals to small letters; other letters stay as they are, so that places stay too.
+_LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def _folded(text: str) -> str:
+    return text.translate(_LOWER)
+
+
+def _cue_begins(text: str, at: int) -> bool:
+    """Whether a word begins at a place: at its start, after a mark, or at a capital after a small letter (apiToken)."""
+    if not at or not (text[at - 1].isalnum()):
+        return True
+    return text[at].isupper() and text[at - 1].islower()
+
+
 def luhn(digits: str) -> bool:
     total = 0
     for k, c in enumerate(reversed(digits)):
@@ -78,7 +95,7 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
         return []
     found: dict[str, list[tuple[int, int]]] = {k: [] for k in KINDS}
     done = dict.fromkeys(KINDS, 0)  # where each kind's parser has read to
-    for last, (kind, n) in automaton().iter(text):
+    for last, (kind, n) in automaton().iter(_folded(text)):
         at = last - n + 1
         if at < done[kind]:
             continue
@@ -114,16 +131,24 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
                 if 9 <= sum(c in DIGITS for c in m[0]) <= 15:
                     found[kind].append(m.span())
         elif kind == "url":
-            if (m := SCHEME.search(text, max(done["url"], at - 20), at)) and (rest := LOGIN.match(text, at + 3)):
-                found[kind].append((m.start(), rest.end()))
+            start = at
+            while start > done["url"] and text[start - 1] in SCHEME:
+                start -= 1
+            while start < at and not text[start].isalpha():
+                start += 1
+            if start < at and (rest := LOGIN.match(text, at + 3)):
+                found[kind].append((start, rest.end()))
                 done[kind] = rest.end()
-        elif not (at and (text[at - 1].isalnum() or text[at - 1] == "_")):
+        elif _cue_begins(text, at):
             m = IBAN.match(text, last + 1)
             if not (m and _iban(m[1])):
-                m = VALUE.match(text, last + 1)
-                m = m if m and sum(c in DIGITS for c in m[1]) >= 4 else None
+                m = None if text[last + 1 : last + 2].isalnum() else VALUE.match(text, last + 1)
             if m:
-                found[kind].append(m.span(1))
+                end = m.end(1)
+                while text[end - 1] in ".=" and end > m.start(1):  # the end of a sentence, or padding
+                    end -= 1
+                if end - m.start(1) >= 5 and sum(c in DIGITS for c in m[1]) >= 4:
+                    found[kind].append((m.start(1), end))
                 done[kind] = m.end()
     return [(kind, *span) for kind in KINDS for span in found[kind]]
 
@@ -166,4 +191,4 @@ def digest(found: DataFrame) -> DataFrame:
 
     count = {k: of(k) for k in KINDS}
     base = F.filter("spans", lambda s: s["kind"].isin(*BASE))
-    return found.select("doc_id", *(count[k] for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *(count[k] for k in ADDED))
+    return found.select("doc_id", *(count[k] for k in BASE), F.sha2(_joined(base), 256).alias("base_sha256"), _joined(F.col("spans")).alias("spans"), *(count[k] for k in ADDED), F.size("spans").cast("long").alias("n_all"))
