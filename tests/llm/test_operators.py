@@ -208,6 +208,43 @@ def test_nearest_with_odd_vectors(spark):
     assert ann.nearest(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def brute_nearest(vectors, query, k=5):
+    """The k nearest by exact cosine, ties to the smaller id."""
+    q = vectors[query]
+    scores = [(float(ann.exact(q[None], v[None])[0]), i) for i, v in vectors.items() if i != query and len(v) == len(q)]
+    return [(i, s) for s, i in sorted(scores, key=lambda x: (-x[0], x[1]))[:k]]
+
+
+def test_ties_precision_and_lengths_of_vectors(spark):
+    rng = np.random.default_rng(4)
+    base = rng.standard_normal(8)
+    vectors = {i: base * 2.0**i for i in range(60)}
+    vectors |= {100 + i: base + 1e-12 * rng.standard_normal(8) for i in range(3)} | {200: base * 1e300, 201: rng.standard_normal(8) * 1e-300}
+    vectors |= {300 + i: rng.standard_normal(3) for i in range(8)} | {350: np.array([1.0])}
+    rows = [(i, v.tolist()) for i, v in vectors.items()] + [(400, []), (401, None), (402, [0.0] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest(df, F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert got == {q: brute_nearest(vectors, q) for q in vectors if q % 50 == 0 and len(vectors[q]) > 1}
+
+
+def test_recall_where_the_window_is_a_small_part(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.standard_normal((150, 24))
+    vectors = {i: centres[i % 150] + 0.25 * rng.standard_normal(24) for i in range(6000)}
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in vectors.items()], "vec_id long, embedding array<double>")
+    out = ann.nearest(df, F.col("vec_id") % 50 == 0, window_share=0.0, least_window=60)  # 2 % of the rows on a curve
+    got = Counter((r["query_id"], r["vec_id"]) for r in out.collect())
+    assert max(got.values()) == 1 and len(got) == 120 * 5
+    matrix = np.stack(list(vectors.values()))
+    unit = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    score = unit[::50] @ unit.T
+    score[np.arange(120), np.arange(0, 6000, 50)] = -2
+    want = {(50 * q, int(i)) for q in range(120) for i in np.argsort(-score[q])[:5]}
+    assert len(want & set(got)) / len(want) >= 0.9
+
+
 def test_hilbert_neighbours_touch():
     cells = np.array([(a, b, c) for a in range(8) for b in range(8) for c in range(8)])
     place = ann.hilbert(cells, 3)
