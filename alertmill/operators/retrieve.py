@@ -9,20 +9,20 @@ from pyspark.sql import functions as F
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
-from alertmill.operators.keyed import first_nonempty_level
+from alertmill.sources.scratch import written
 
 
 def history(subjects: DataFrame, decided: DataFrame, levels: Sequence[Sequence[str]], id_: str, conclusion: str, time: str, window: int) -> DataFrame:
     """Counts by conclusion of earlier decisions like each subject's, at the first level of keys (of `levels`, the closest
     first) that has any: subject, level, conclusion, n and last_seen. A subject is not its own history."""
-    found = None
+    found, open_ = None, subjects.select(F.col(id_).alias("subject"), F.col(time).alias("_t"), *dict.fromkeys(c for keys in levels for c in keys))
     for k, keys in enumerate(levels):
-        a = subjects.select(F.col(id_).alias("subject"), F.col(time).alias("_t"), *keys).dropna(subset=list(keys))
         b = decided.select(F.col(id_).alias("_other"), F.col(time).alias("_u"), F.col(conclusion).alias("conclusion"), *keys)
-        one = a.join(b, list(keys)).filter((F.col("subject") != F.col("_other")) & (F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - window))
-        one = one.groupBy("subject", F.lit(k).alias("level"), "conclusion").agg(F.count("*").alias("n"), F.max("_u").alias("last_seen"))
+        met = open_.dropna(subset=list(keys)).join(b, list(keys)).filter((F.col("subject") != F.col("_other")) & (F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - window))
+        one = written(met.groupBy("subject", F.lit(k).alias("level"), "conclusion").agg(F.count("*").alias("n"), F.max("_u").alias("last_seen")), "history")
         found = one if found is None else found.unionByName(one)
-    return first_nonempty_level(found, "subject", "level")
+        open_ = open_.join(one.select("subject").distinct(), "subject", "left_anti")  # the wide levels meet what is left
+    return found
 
 
 def overlap(subjects: DataFrame, entries: DataFrame, id_: str, entry: str, category: str, tags: str, limit: int = P.OVERLAP_CANDIDATES) -> DataFrame:

@@ -73,11 +73,11 @@ def correlation_summary(t):
 
 
 @query(with_(ALERTS, PAIRS) + """SELECT left_id, rule_id, n, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY n DESC, rule_id) AS r
-  FROM (SELECT left_id, rule_id, count(*) AS n, max(t) AS last_seen FROM pairs JOIN alerts ON alert_id = right_id GROUP BY 1, 2)) WHERE r <= 2""")
+  FROM (SELECT left_id, rule_id, count(*) AS n, max(t) AS last_seen FROM pairs JOIN alerts ON alert_id = right_id GROUP BY 1, 2)) WHERE r <= 20""")
 def correlation_groups(t):
     right = M.alerts(t).select(F.col("alert_id").alias("right_id"), "rule_id", "t")
     groups = correlated(t).join(right, "right_id").groupBy("left_id", "rule_id").agg(F.count("*").alias("n"), F.max("t").alias("last_seen"))
-    return keyed.top_groups(groups, ["rule_id"], 2, [F.desc("n"), F.col("rule_id")], ["left_id"])
+    return keyed.top_groups(groups, ["rule_id"], P.CORRELATION_GROUPS, [F.desc("n"), F.col("rule_id")], ["left_id"])
 
 
 @query(with_(ALERTS, PAIRS) + """SELECT left_id, right_id, r FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY rule_level DESC, t, right_id) AS r FROM pairs JOIN alerts ON alert_id = right_id) WHERE r <= 5""")
@@ -104,14 +104,14 @@ def decided_after(t):
 # --- retrieval -----------------------------------------------------------------------------------
 
 LEVELS = [["rule_id", "agent_name", "srcip"], ["rule_id", "agent_name"], ["rule_id", "srcip"], ["rule_id", "severity"]]
-HISTORY = "\nUNION ALL ".join(f"""SELECT a.alert_id AS subject, {k} AS level, b.status AS conclusion, b.decided AS u FROM alerts a JOIN decided b ON {' AND '.join(f'a.{c} = b.{c}' for c in keys)} AND a.alert_id <> b.alert_id AND b.decided < a.t AND b.decided >= a.t - 7776000000000 WHERE a.k % 10 = 0""" for k, keys in enumerate(LEVELS))
+HISTORY = "\nUNION ALL ".join(f"""SELECT a.alert_id AS subject, {k} AS level, b.status AS conclusion, b.decided AS u FROM alerts a JOIN decided b ON {' AND '.join(f'a.{c} = b.{c}' for c in keys)} AND a.alert_id <> b.alert_id AND b.decided < a.t AND b.decided >= a.t - 7776000000000""" for k, keys in enumerate(LEVELS))
 
 
 @query(with_(ALERTS, f"decided AS (SELECT * FROM alerts WHERE decided IS NOT NULL), h AS ({HISTORY})") + """SELECT subject, level, conclusion, count(*) AS n, max(u) AS last_seen FROM h WHERE (subject, level) IN (SELECT (subject, min(level)) FROM h GROUP BY subject) GROUP BY ALL""")
 def history_cascade(t):
     a = M.alerts(t).withColumn("at", F.col("t"))
     d = a.filter("decided is not null").withColumn("at", F.col("decided"))
-    return retrieve.history(a.filter("k % 10 = 0"), d, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY)
+    return retrieve.history(a, d, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY)
 
 
 #: Knowledge entries: benchmark items, each with a category and tags.
@@ -133,9 +133,9 @@ def subjects(t: Tables) -> DataFrame:
     return t.documents.select(i.alias("doc_id"), s("c", 7).alias("category"), F.array(s("t", 5), s("x", 11)).alias("tags"))
 
 
-@query(with_(ENTRIES) + "SELECT subject, entry, CAST(score AS BIGINT) AS score, rank FROM ranked WHERE rank <= 5")
+@query(with_(ENTRIES) + "SELECT subject, entry, CAST(score AS BIGINT) AS score, rank FROM ranked WHERE rank <= 20")
 def overlap_candidates(t):
-    return retrieve.overlap(subjects(t), entries(t), "doc_id", "entry", "category", "tags", 5).withColumn("rank", F.col("rank").cast("long"))
+    return retrieve.overlap(subjects(t), entries(t), "doc_id", "entry", "category", "tags").withColumn("rank", F.col("rank").cast("long"))
 
 
 VECTORS = """v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
@@ -150,14 +150,14 @@ def nearest_cosine(t):
     return near.select("query", "entry", F.round("similarity", 9).alias("similarity"), F.col("rank").cast("long").alias("rank"))
 
 
-@query(with_(ENTRIES, """a AS (SELECT subject, entry, rank AS ra FROM ranked WHERE rank <= 5),
-  b AS (SELECT subject, entry, row_number() OVER (PARTITION BY subject ORDER BY entry DESC) AS rb FROM ranked WHERE rank <= 9), c AS (SELECT * FROM b WHERE rb <= 5),
+@query(with_(ENTRIES, """a AS (SELECT subject, entry, rank AS ra FROM ranked WHERE rank <= 20),
+  b AS (SELECT subject, entry, row_number() OVER (PARTITION BY subject ORDER BY entry DESC) AS rb FROM ranked WHERE rank <= 30), c AS (SELECT * FROM b WHERE rb <= 20),
   j AS (SELECT coalesce(a.subject, c.subject) AS subject, coalesce(a.entry, c.entry) AS entry, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 0 ELSE 1 END AS g, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN ra ELSE coalesce(2 * ra, 2 * rb + 1) END AS r FROM a FULL JOIN c ON a.subject = c.subject AND a.entry = c.entry)""")
-    + "SELECT subject, entry, position FROM (SELECT subject, entry, row_number() OVER (PARTITION BY subject ORDER BY g, r, entry) AS position FROM j) WHERE position <= 6")
+    + "SELECT subject, entry, position FROM (SELECT subject, entry, row_number() OVER (PARTITION BY subject ORDER BY g, r, entry) AS position FROM j) WHERE position <= 40")
 def hybrid_merge(t):
-    ranked = retrieve.overlap(subjects(t), entries(t), "doc_id", "entry", "category", "tags", 9)
-    b = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("entry")))).filter("rank <= 5")
-    return keyed.interleave(ranked.filter("rank <= 5"), b, "subject", "entry", "rank", 6).withColumn("position", F.col("position").cast("long"))
+    ranked = retrieve.overlap(subjects(t), entries(t), "doc_id", "entry", "category", "tags", 30)
+    b = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("entry")))).filter(F.col("rank") <= P.VECTOR_CANDIDATES)
+    return keyed.interleave(ranked.filter(F.col("rank") <= P.OVERLAP_CANDIDATES), b, "subject", "entry", "rank", P.MERGED_CANDIDATES).withColumn("position", F.col("position").cast("long"))
 
 
 @query("""WITH q AS (SELECT item_id AS query, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))[1:4] AS w FROM benchmark),

@@ -254,11 +254,11 @@ def burst_count(t):
 
 @query(with_(ALERTS) + """, u AS (SELECT agent_name, t, alert_id, 'head' AS kind FROM alerts UNION ALL SELECT agent_name, acked, alert_id, 'ack' FROM alerts WHERE acked IS NOT NULL),
   p AS (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY t, alert_id, kind) AS pos, count(*) OVER (PARTITION BY agent_name) AS n FROM u)
-  SELECT agent_name, pos, kind, alert_id, n FROM p WHERE n <= 40 OR pos <= 20 OR pos > n - 20""")
+  SELECT agent_name, pos, kind, alert_id, n FROM p WHERE n <= 300 OR pos <= 150 OR pos > n - 150""")
 def timeline_union_head_tail(t):
     a = M.alerts(t)
     u = a.select("agent_name", "t", "alert_id", F.lit("head").alias("kind")).unionByName(a.filter("acked is not null").select("agent_name", F.col("acked").alias("t"), "alert_id", F.lit("ack").alias("kind")))
-    return keyed.head_and_tail(u, ["agent_name"], ["t", "alert_id", "kind"], 40, 20).select("agent_name", F.col("at").cast("long").alias("pos"), "kind", "alert_id", "n")
+    return keyed.head_and_tail(u, ["agent_name"], ["t", "alert_id", "kind"], P.TIMELINE_ROWS, P.TIMELINE_HALF).select("agent_name", F.col("at").cast("long").alias("pos"), "kind", "alert_id", "n")
 
 
 @query(with_(ALERTS) + "SELECT alert_id, t FROM alerts WHERE (t, alert_id) < (1705000000000000, 100000) ORDER BY t DESC, alert_id DESC LIMIT 25")

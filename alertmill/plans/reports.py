@@ -66,9 +66,9 @@ def case_counters(t):
     return M.cases(t).select("case_id", "status").join(by_case, "case_id", "left").select("case_id", "status", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("spent_ms", F.lit(0)).alias("spent_ms"), "last")
 
 
-@query(with_(RUNS) + "SELECT subject_id, run_id, created FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY created, run_id) AS place FROM runs) WHERE place <= 3")
+@query(with_(RUNS) + "SELECT subject_id, run_id, created FROM (SELECT *, row_number() OVER (PARTITION BY subject_id ORDER BY created, run_id) AS place FROM runs) WHERE place <= 50")
 def cut_timeline(t):
-    return keyed.top_groups(M.runs(t).select("subject_id", "run_id", "created"), [], 3, [F.col("created"), F.col("run_id")], ["subject_id"])
+    return keyed.top_groups(M.runs(t).select("subject_id", "run_id", "created"), [], 50, [F.col("created"), F.col("run_id")], ["subject_id"])
 
 
 @query(with_(PREDICTIONS) + """SELECT basis, label, count(*) AS n FROM (

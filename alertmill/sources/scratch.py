@@ -5,15 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
 
 
 def path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder. Only a local master may go without one; on a cluster that raises."""
     global _own
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:  # unset, as in tests
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own = _own or "file://" + tempfile.mkdtemp(prefix="alertmill-")
         base = _own
     return f"{base.rstrip('/')}/alertmill/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: lineage ends there."""
+    where = path(df.sparkSession, name)
+    df.write.parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
