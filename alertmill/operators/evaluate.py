@@ -142,7 +142,7 @@ def stratified(df: DataFrame, strata: Sequence[str], id_: str, total: int, seed:
     """A sample of about `total` rows with each stratum's share, in the order of a seeded hash of the id."""
     sizes = {tuple(r)[:-1]: r["n"] for r in df.groupBy(*strata).agg(F.count("*").alias("n")).collect()}  # a row a stratum
     places = largest_remainder({k: v for k, v in sorted(sizes.items(), key=str)}, total)
-    wanted = df.sparkSession.createDataFrame([(*k, v) for k, v in places.items()], df.select(*strata).schema.add("_places", "int"))
+    wanted = df.sparkSession.createDataFrame([(*k, v) for k, v in places.items()], df.select(*strata).schema.add("_places", "integer"))
     from pyspark.sql import Window
 
     order = Window.partitionBy(*strata).orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col(id_).cast("string")), 256), id_)

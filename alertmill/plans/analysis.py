@@ -248,15 +248,15 @@ def wilson_interval(t):
 
 @query()
 def bootstrap_macro_f1(t):
-    """Random draws have no SQL form; tests hold them against a direct resampling."""
+    """Random draws have no SQL form; a test holds them against resampling of rows."""
     return evaluate.bootstrap(M.predictions(t))
 
 
-@query()
+@query(with_(PREDICTIONS) + """, d AS (SELECT count(*) FILTER (WHERE a AND NOT b) AS only_a, count(*) FILTER (WHERE NOT a AND b) AS only_b FROM (SELECT coalesce(verdict = truth, false) AS a, second = truth AS b FROM predictions))
+  SELECT only_a, only_b, round(CASE WHEN only_a + only_b = 0 THEN 1.0 ELSE least(1.0, 2 * list_sum(list_transform(range(0, least(only_a, only_b) + 1), lambda i: exp(lgamma(only_a + only_b + 1) - lgamma(i + 1) - lgamma(only_a + only_b - i + 1) - (only_a + only_b) * ln(2))))) END, 9) AS p FROM d""")
 def mcnemar_exact(t):
-    """The binomial tail has no SQL form; tests hold it against fractions."""
     p = M.predictions(t)
-    return evaluate.mcnemar(p, F.coalesce(F.col("verdict") == F.col("truth"), F.lit(False)), F.col("second") == F.col("truth"))
+    return evaluate.mcnemar(p, F.coalesce(F.col("verdict") == F.col("truth"), F.lit(False)), F.col("second") == F.col("truth")).withColumn("p", F.round("p", 9))
 
 
 # --- rules, cases --------------------------------------------------------------------------------

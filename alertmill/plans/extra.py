@@ -274,7 +274,8 @@ STREAM_GAP, STREAM_AGE, STREAM_SIZE = 24 * M.HOUR, 72 * M.HOUR, 3
 
 @query()
 def stream_clusters(t):
-    """The cluster fold as a stream over all events, run to its end; tests hold it against the batch fold."""
+    """The cluster fold as a stream over all events, run to its end: closed clusters and those left open. A test holds it
+    against the batch fold."""
     from alertmill.streaming import clusters as C
 
     spark = t.spark
@@ -286,6 +287,7 @@ def stream_clusters(t):
         rows = events.select(F.col("event_type").alias("rule_id"), F.concat(F.lit("host-"), F.col("user_id").cast("string")).alias("agent_name"), M.micros(F.col("ts")).alias("t"), F.col("event_id").alias("alert_id"))
         closed = C.closed_clusters(rows, ("rule_id", "agent_name"), STREAM_GAP, STREAM_AGE, STREAM_SIZE)
         closed.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
+        left = C.open_clusters(spark, mark, ("rule_id", "agent_name"))
+        return spark.read.schema(closed.schema).parquet(out).unionByName(scratch.written(left, "open"))
     finally:
         spark.conf.set(key, before)
-    return spark.read.schema(closed.schema).parquet(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -55,6 +55,13 @@ def closed_clusters(alerts: DataFrame, keys=KEYS, gap: int = P.IDLE_GAP_S * 1_00
     return alerts.groupBy(*keys).transformWithStateInPandas(processor, schema, "Append", "None")
 
 
+def open_clusters(spark: SparkSession, checkpoint: str, keys=KEYS) -> DataFrame:
+    """The clusters that a stream of closed_clusters() has left open, from its state: what a replay run to its end adds."""
+    state = spark.read.format("statestore").option("stateVarName", "open").load(checkpoint)
+    values = [F.col(f"value.{c.split()[0]}") for c in OUTPUT.split(", ")[:-1]]
+    return state.select(*(F.col(f"key.{k}") for k in keys), *values, F.lit(None).cast("string").alias("closed_by"))
+
+
 def first_arrivals(alerts: DataFrame, keys: list[str], event_time: str, tolerance: str = "1 hour") -> DataFrame:
     """A stream without repeats of a key inside the watermark; a join with what is stored takes care of older ones."""
     return alerts.withWatermark(event_time, tolerance).dropDuplicatesWithinWatermark(keys)
