@@ -17,10 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder named by spark.checkpoint.dir; a temporary one only where that is unset."""
+    """A new path in the shared folder named by spark.checkpoint.dir. Only a local master may go without one, as in tests."""
     global _own_scratch
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own_scratch = _own_scratch or "file://" + tempfile.mkdtemp(prefix="alertmill-")
         base = _own_scratch
     return f"{base.rstrip('/')}/alertmill/{name}-{uuid.uuid4().hex}"
