@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,17 +47,57 @@ def phrase_matches(queries: DataFrame, documents: DataFrame, id_: str, text: str
     return met.filter("n = need").select("query", "document")
 
 
+#: Numbers of a set of queries that are sent to every task: 8 MB as doubles.
+SENT_NUMBERS = 1_000_000
+
+
 def nearest_exact(queries: DataFrame, entries: DataFrame, k: int, floor: float | None = None) -> DataFrame:
-    """query, entry, similarity and rank: the k nearest by cosine of each query, ties to the lesser id. queries: a small
-    stated set (query, model, embedding); entries are scanned once against it and each task keeps its k best."""
-    pairs = entries.join(queries.select("query", F.col("model").alias("_m"), F.col("embedding").alias("_q")), F.col("model") == F.col("_m"))
-    scored = pairs.select("query", "entry", S.cosine(F.col("_q"), F.col("embedding")).alias("similarity")).filter("similarity is not null and query <> entry")
+    """query, entry, similarity and rank: the k nearest by cosine of each query, ties to the lesser id; not the entry with its
+    own id. Vectors that are null, zero or of another length or model don't meet.
+
+    A stated set of queries of at most SENT_NUMBERS numbers goes to every task, which scans its entries once as products of
+    matrices and keeps its k best; a larger one is joined by model and length."""
+    size = queries.agg(F.sum(F.size("embedding").cast("long"))).first()[0] or 0
+    scored = _scanned(queries, entries, k) if size <= SENT_NUMBERS else _joined(queries, entries)
     if floor is not None:
         scored = scored.filter(F.col("similarity") >= floor)
     order = Window.partitionBy("query").orderBy(F.desc("similarity"), "entry")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
+def _joined(queries: DataFrame, entries: DataFrame) -> DataFrame:
+    asks = queries.select("query", F.col("model").alias("_m"), F.col("embedding").alias("_q"))
+    met = entries.join(asks, (F.col("model") == F.col("_m")) & (F.size("embedding") == F.size("_q")))
+    return met.select("query", "entry", S.cosine(F.col("_q"), F.col("embedding")).alias("similarity")).filter("similarity is not null and query <> entry")
+
+
+def _scanned(queries: DataFrame, entries: DataFrame, k: int) -> DataFrame:
+    asked: dict[tuple, list] = {}
+    for r in queries.filter("embedding is not null and model is not null").select("query", "model", "embedding").collect():  # bounded by SENT_NUMBERS
+        asked.setdefault((r["model"], len(r["embedding"])), []).append((r["query"], r["embedding"]))
+    sets = {key: (np.array([q for q, _ in rows]), np.array([v for _, v in rows], np.float64)) for key, rows in asked.items() if key[1]}
+
+    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            frame = frame[frame["embedding"].notna() & frame["model"].notna()]
+            for (model, n), part in frame.groupby([frame["model"], frame["embedding"].map(len)]):
+                if (model, n) not in sets:
+                    continue
+                ids, q = sets[model, n]
+                v, entry = np.stack(part["embedding"].to_numpy()).astype(np.float64), part["entry"].to_numpy()
+                norm = np.sqrt(np.einsum("ij,ij->i", v, v))
+                for i in range(len(ids)):
+                    length = norm * np.sqrt(q[i] @ q[i])
+                    similar = np.divide(np.einsum("ij,j->i", v, q[i]), length, out=np.full(len(v), np.nan), where=length > 0)
+                    similar[entry == ids[i]] = np.nan
+                    best = np.lexsort((entry, -similar))[:k]  # nan comes last
+                    best = best[~np.isnan(similar[best])]
+                    yield pd.DataFrame({"query": ids[i], "entry": entry[best], "similarity": similar[best]})
+
+    kinds = queries.select("query").schema[0].dataType.simpleString(), entries.select("entry").schema[0].dataType.simpleString()
+    return entries.select("entry", "model", "embedding").mapInPandas(scan, f"query {kinds[0]}, entry {kinds[1]}, similarity double")
+
+
 def index_state(entries: DataFrame, vectors: DataFrame) -> DataFrame:
     """Each entry id as missing (no vector), stale (of another text), extra (no entry) or current."""
     a = entries.select("entry_id", F.col("content_sha256").alias("want"), F.lit(True).alias("_e"))

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from alertmill.operators import decisions as D
-from alertmill.operators import evaluate, filters, sessions
+from alertmill.operators import evaluate, filters, retrieve, sessions
 from alertmill.plans import extra, model
 from alertmill.sources import alerts as A
 from alertmill.streaming import clusters
@@ -95,3 +95,21 @@ def test_guards_and_pages(spark):
     assert [r[0] for r in text.select(filters.contains_text(F.col("c"), "%_A\\")).collect()] == [True, False, None]
     truths = D.case_truth(spark.createDataFrame([(1, "TP"), (1, None), (2, "FP"), (2, None), (3, "FP")], "c int, l string"), "c", "l")
     assert {r["c"]: r["truth"] for r in truths.collect()} == {1: "TP", 2: None, 3: "FP"}
+
+
+def test_nearest_by_scan_and_by_join(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    rows = [(i, "m" if i % 4 else "n", rng.integers(-3, 4, 5).astype(float).tolist()) for i in range(60)] + [(70, "m", None), (71, "m", [0.0] * 5), (72, "m", [1.0]), (73, None, [1.0] * 5)]
+    e = spark.createDataFrame(rows, "entry long, model string, embedding array<double>")
+    q = e.filter("entry % 7 = 0 or entry > 69").withColumnRenamed("entry", "query")
+    want = []
+    for i, m, v in rows:
+        if (i % 7 == 0 or i > 69) and v and any(v) and m:
+            near = [(-np.dot(v, w) / (np.dot(v, v) * np.dot(w, w)) ** 0.5, j) for j, n, w in rows if j != i and n == m and w and len(w) == len(v) and any(w)]
+            want += [(i, j, r + 1) for r, (_, j) in enumerate(sorted((round(s, 12), j) for s, j in near)[:3])]
+    close = lambda df: sum((r["query"], r["entry"], r["rank"]) in set(want) for r in df.collect())
+    got = retrieve.nearest_exact(q, e, 3)
+    assert got.count() == len(want) and close(got) >= 0.9 * len(want)  # equal cosines may differ in their last bit
+    monkeypatch.setattr(retrieve, "SENT_NUMBERS", 0)
+    got = retrieve.nearest_exact(q, e, 3)
+    assert got.count() == len(want) and close(got) >= 0.9 * len(want)
