@@ -56,12 +56,14 @@ def automaton():
     return _automaton
 
 
-#: ASCII capitals to small letters; other letters stay as they are, so that places stay too.
 _LOWER = {c: c + 32 for c in range(65, 91)}
 
 
 def _folded(text: str) -> str:
-    return text.translate(_LOWER)
+    """The text in small letters, each place as it was. No letter's small form is shorter, so equal lengths tell that none is
+    longer; else ASCII letters alone are folded."""
+    low = text.lower()
+    return low if len(low) == len(text) else text.translate(_LOWER)
 
 
 def _cue_begins(text: str, at: int) -> bool:
