@@ -450,6 +450,78 @@ def test_a_leaf_holds_several_templates(spark):
     assert len(out[400]) == 50 and [out[401 + k] != [""] for k in range(9)] == [True] + [False] * 8
 
 
+def plain_tree(rows, depth=3, documents=8, agreement=0.5, match=0.6):
+    """The kept lines of each document by loops over leaves, templates and lines, as the module's text tells it."""
+    masked = lambda ts: tuple("<*>" if re.search("[0-9]", t) else t for t in ts)
+    leaves = defaultdict(list)
+    for d, (_, text) in enumerate(rows):
+        for place, line in enumerate(text.split("\n")):
+            if line.strip(" "):
+                ts = tuple(re.split("[ \t\r]+", line.strip(" \t\r")))
+                leaves[len(ts), masked(ts[:depth])].append((d, place, ts))
+    gone = set()
+    for own in leaves.values():
+        size = len({d for d, _, _ in own})
+        if size < documents:
+            continue
+        have = defaultdict(set)
+        for d, _, ts in own:
+            for at, t in enumerate(ts):
+                have[at, t].add(d)
+        count = {k: len(v) for k, v in have.items()}
+        n = len(own[0][2])
+        main = {}
+        for at in range(n):
+            c, t = max((c, t) for (a, t), c in count.items() if a == at)
+            if c >= agreement * size:
+                main[at] = t
+        enough = lambda places: len(places) >= match * n and sum(p >= depth for p in places) >= match * (n - depth)
+        offers = {}
+        for ts in {ts for _, _, ts in own}:
+            out = []
+            if enough([at for at in range(n) if main.get(at) == ts[at]]):
+                out.append("main")
+            if sum(not re.search("[0-9]", t) for t in ts) >= match * n:
+                out.append(masked(ts))
+            chain = sorted((-count[at, t], at, t) for at, t in enumerate(ts) if count[at, t] >= documents)
+            for i in range(1, len(chain) + 1):
+                if (i == len(chain) or chain[i][0] != chain[i - 1][0]) and enough([at for _, at, _ in chain[:i]]):
+                    out.append(("chain", *chain[:i]))
+            offers[ts] = out
+        recurs = defaultdict(set)
+        for d, _, ts in own:
+            for o in offers[ts]:
+                recurs[o].add(d)
+        fits = defaultdict(list)
+        for d, place, ts in own:
+            best = next((o for o in offers[ts] if len(recurs[o]) >= documents), None)
+            if best is not None:
+                fits[best].append((d, place))
+        for lines in fits.values():
+            first = min((d for d, _ in lines), key=lambda d: (rows[d][0] is None, rows[d][0] or 0))
+            gone |= {x for x in lines if x[0] != first}
+    return {i: [line for place, line in enumerate(text.split("\n")) if (d, place) not in gone] for d, (i, text) in enumerate(rows)}
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_tree_against_plain_loops(spark, seed):
+    rng = random.Random(seed)
+    few = lambda k: rng.choice("abcdefgh"[:k])
+    makers = [
+        lambda: f"Posted by {few(8)} on day {rng.randrange(30)} at noon",
+        lambda: f"Posted by {few(2)} in the {few(3)} {few(8)} room",
+        lambda: " ".join(few(3) for _ in range(rng.randrange(1, 8))),
+        lambda: f"one two three {few(2)} {few(2)} {few(8)} {few(8)}",
+        lambda: f"  share this page\t{few(2)} {rng.randrange(3)}  ",
+        lambda: rng.choice(["", "  ", "\t"]),
+    ]
+    rows = [(i if i else None, "\n".join(rng.choice(makers)() for _ in range(rng.randrange(1, 12)))) for i in range(60)]
+    want = plain_tree(rows)
+    assert kept_lines(spark, rows) == {i: kept or [""] for i, kept in want.items()}
+    dropped = sum(len(t.split("\n")) for _, t in rows) - sum(map(len, want.values()))
+    assert 50 < dropped < sum(len(t.split("\n")) for _, t in rows) - 50
+
+
 def test_short_lines_with_a_common_opening_stay(spark):
     rng = random.Random(6)
     word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=9))
