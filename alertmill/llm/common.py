@@ -73,23 +73,27 @@ _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 _FOLDED = _BYTE.copy()
 _FOLDED[65:91] = _BYTE[97:123]
 _BASE = 0xD1342543DE82EF95
+KEPT_POWERS = 1 << 20
 _powers: tuple[np.ndarray, np.ndarray] | None = None
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of an odd base modulo 2^64, and their inverses."""
+    """The first n powers of an odd base modulo 2^64, and their inverses. A worker keeps KEPT_POWERS of them; those of a
+    longer text are worked out anew, so that one long text doesn't hold memory for good."""
     global _powers
-    if _powers is None or len(_powers[0]) < n:
-        size = max(n, 1 << 16)
-        both = []
-        for base in (_BASE, pow(_BASE, -1, 2**64)):
-            p = np.full(size, base, np.uint64)
-            p[0] = 1
-            both.append(np.cumprod(p, dtype=np.uint64))
-        _powers = both[0], both[1]
+    if n > KEPT_POWERS:
+        return _power_row(_BASE, n), _power_row(pow(_BASE, -1, 2**64), n)
+    if _powers is None:
+        _powers = _power_row(_BASE, KEPT_POWERS), _power_row(pow(_BASE, -1, 2**64), KEPT_POWERS)
     return _powers[0][:n], _powers[1][:n]
 
 
+def _power_row(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
+    out[0] = 1
+    return np.cumprod(out, dtype=np.uint64, out=out)
+
+
 def prefix_hashes(data: np.ndarray, fold: bool = False) -> np.ndarray:
     """h where (h[e] - h[s]) * inverse power of s names the bytes from s to e; fold: ASCII case doesn't count."""
     out = np.zeros(len(data) + 1, np.uint64)

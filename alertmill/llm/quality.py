@@ -22,6 +22,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -86,10 +87,8 @@ def count_features(docs: DataFrame, s: Settings) -> DataFrame:
             chosen = batch.column(1).fill_null(False).to_numpy(zero_copy_only=False)
             for a, b, words, words_at, form, form_at in features(batch.column(0), s):
                 for f, at, first in ((words, words_at, 0), (form, form_at, s.word_buckets)):
-                    raw += np.bincount(f + first, minlength=size)
-                    own = f[np.repeat(chosen[a:b], np.diff(at))]
-                    if len(own):
-                        target += np.bincount(own + first, minlength=size)
+                    np.add.at(raw, f + first, 1)  # in place: no vector for each run of rows
+                    np.add.at(target, f[np.repeat(chosen[a:b], np.diff(at))] + first, 1)
         yield from rows(enumerate(zip(raw.reshape(-1, CHUNK), target.reshape(-1, CHUNK), strict=True)))
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,9 +101,9 @@ def count_features(docs: DataFrame, s: Settings) -> DataFrame:
         yield from rows(sums.items())
 
     def rows(items) -> Iterator[pa.RecordBatch]:
-        items = [(k, r.tobytes(), t.tobytes()) for k, (r, t) in items if r.any()]
-        for k in range(0, len(items), 64):
-            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*items[k : k + 64], strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "raw", "target"])
+        some = ((k, r.tobytes(), t.tobytes()) for k, (r, t) in items if r.any())
+        while part := list(islice(some, 64)):
+            yield pa.RecordBatch.from_arrays([pa.array(c, ty) for c, ty in zip(zip(*part, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["chunk", "raw", "target"])
 
     return docs.select("text", "is_target").mapInArrow(local, kind).repartition("chunk").mapInArrow(total, kind)
 
