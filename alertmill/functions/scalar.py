@@ -224,3 +224,12 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
     mid = (p + z * z / (2 * n)) / (1 + z * z / n)
     half = z * F.sqrt(p * (1 - p) / n + z * z / (4 * n * n)) / (1 + z * z / n)
     return F.when(n > 0, F.struct((mid - half).alias("low"), (mid + half).alias("high")))
+
+
+def rate_cell(num: Column, den: Column) -> Column:
+    """A rate as text with its counts; n/a with nothing to divide."""
+    return F.when(den == 0, "n/a").otherwise(F.format_string("%.3f (%d / %d)", num / den, num, den))
+
+
+def ms_cell(value: Column) -> Column:
+    return F.when(value.isNull(), "n/a").otherwise(F.concat(value.cast("long").cast("string"), F.lit(" ms")))

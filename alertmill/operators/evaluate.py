@@ -75,6 +75,53 @@ def calibration(predictions: DataFrame, score: str, thresholds: Sequence[float])
     return out.withColumn("precision", F.try_divide(F.col("hits"), F.col("n"))).withColumn("recall", F.try_divide(F.col("hits"), F.col("positives")))
 
 
+def arm_summary(rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """An arm's numbers. rows: truth_tp, model_tp (null without an answer), held, seen (a lookup was read) and best_pct (null
+    without a match). Rates are over the answered; one with nothing to divide is null."""
+    said, true = F.col("model_tp"), F.col("truth_tp")
+    count = lambda c, name: F.count_if(c).alias(name)
+    out = rows.groupBy(*by).agg(
+        F.count("*").alias("n"), F.count("model_tp").alias("answered"), count(said == true, "correct"), count(said & true, "hits"), count(said.isNotNull() & true, "truth_tp"), count(said, "said_tp"),
+        count(F.col("held") & (said != true), "held_wrong"), count(F.col("held") & (said == true), "held_right"), count(F.col("seen"), "seen"), count(F.col("seen") & F.col("best_pct").isNotNull(), "with_match"),
+        F.avg(F.when(F.col("seen"), F.col("best_pct"))).alias("mean_best_pct"),
+    )
+    rates = {"accuracy": ("correct", "answered"), "tp_recall": ("hits", "truth_tp"), "tp_precision": ("hits", "said_tp")}
+    return out.withColumns({name: F.try_divide(F.col(a), F.col(b)) for name, (a, b) in rates.items()})
+
+
+def leaks(matched: DataFrame, subject_runs: DataFrame, entries: DataFrame, entry_runs: DataFrame, cutoff: int) -> DataFrame:
+    """By subject: whether an entry that it matched (subject, entry) comes from one of its own runs, or was approved after the
+    cutoff, and how many entries can't be placed (gone, or never approved)."""
+    placed = matched.join(entries, "entry", "left")
+    times = placed.groupBy("subject").agg(F.coalesce(F.max(F.col("approved") > cutoff), F.lit(False)).alias("after_cutoff"), F.count_if(F.col("approved").isNull()).alias("unplaceable"))
+    own = matched.join(entry_runs, "entry").join(subject_runs, ["subject", "run"]).select("subject").distinct().withColumn("same_run", F.lit(True))
+    return times.join(own, "subject", "left").select("subject", F.coalesce("same_run", F.lit(False)).alias("same_run"), "after_cutoff", "unplaceable")
+
+
+def regression_gate(rows: DataFrame, baseline: str, candidate: str, attack: Column) -> DataFrame:
+    """rule, baseline, candidate and status of two systems on the same rows: macro-F1 may drop by MACRO_F1_MAX_DROP, no fewer
+    attacks may be caught, and no more of the attack rows may pass as benign. n/a where nothing supports a rule."""
+    sides = []
+    for name in (baseline, candidate):
+        p = rows.select("truth", F.col(name).alias("verdict"), attack.alias("attack"))
+        true, o = F.col("truth") == "escalate", outcome(F.col("verdict"))
+        counts = p.agg(F.count_if(true).alias("support"), F.count_if(true & (o == "escalate")).cast("double").alias("caught"), F.count_if(true & F.col("attack") & (o == "benign")).cast("double").alias("passed"))
+        sides.append(scores(p).select(F.col("macro_f1")).crossJoin(counts).select(F.struct("*").alias(f"_{len(sides)}")))  # one row each
+    a, b = F.col("_0"), F.col("_1")
+    rule = lambda name, x, y, ok, known: F.struct(F.lit(name).alias("rule"), x.alias("baseline"), y.alias("candidate"), F.when(~known, "n/a").when(ok, "PASS").otherwise("FAIL").alias("status"))
+    rules = F.array(
+        rule("macro_f1", a["macro_f1"], b["macro_f1"], a["macro_f1"] - b["macro_f1"] <= P.MACRO_F1_MAX_DROP, a["macro_f1"].isNotNull() & b["macro_f1"].isNotNull()),
+        rule("recall_escalate", a["caught"], b["caught"], b["caught"] >= a["caught"], a["support"] > 0),
+        rule("asr", a["passed"], b["passed"], b["passed"] <= a["passed"], F.lit(True)),
+    )
+    return sides[0].crossJoin(sides[1]).select(F.explode(rules).alias("r")).select("r.*")
+
+
+def baseline_verdict(severity: Column) -> Column:
+    """The verdict by severity alone."""
+    return F.when(severity == "critical", "escalate").when(severity == "high", "needs_review").when(severity.isin("low", "medium"), "false_positive")
+
+
 def mcnemar(pairs: DataFrame, right_a: Column, right_b: Column) -> DataFrame:
     """Discordant counts of two systems on the same rows and the exact two-sided p."""
     counts = pairs.agg(F.count_if(right_a & ~right_b).alias("only_a"), F.count_if(~right_a & right_b).alias("only_b"))

@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from alertmill.plans import analysis, decided, extra, queries, registry, reports  # noqa: F401  (they fill the registry)
+from alertmill.plans import analysis, decided, extra, measures, queries, registry, reports  # noqa: F401  (they fill the registry)
 
 SF_DIR = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
