@@ -14,14 +14,24 @@ from alertmill.functions import scalar as S
 from alertmill.sources.scratch import written
 
 
-def history(subjects: DataFrame, decided: DataFrame, levels: Sequence[Sequence[str]], id_: str, conclusion: str, time: str, window: int) -> DataFrame:
-    """Counts by conclusion of earlier decisions like each subject's, at the first level of keys (of `levels`, the closest
-    first) that has any: subject, level, conclusion, n and last_seen. A subject is not its own history."""
-    found, open_ = None, subjects.select(F.col(id_).alias("subject"), F.col(time).alias("_t"), *dict.fromkeys(c for keys in levels for c in keys))
-    for k, keys in enumerate(levels):
-        b = decided.select(F.col(id_).alias("_other"), F.col(time).alias("_u"), F.col(conclusion).alias("conclusion"), *keys)
-        met = open_.dropna(subset=list(keys)).join(b, list(keys)).filter((F.col("subject") != F.col("_other")) & (F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - window))
-        one = written(met.groupBy("subject", F.lit(k).alias("level"), "conclusion").agg(F.count("*").alias("n"), F.max("_u").alias("last_seen")), "history")
+def history(subjects: DataFrame, decided: DataFrame, levels: Sequence[Sequence[Sequence[str]]], id_: str, conclusion: str, time: str, window: int, examples: int = P.HISTORY_EXAMPLES) -> DataFrame:
+    """Counts by conclusion of earlier decisions like each subject's, at the first level (of `levels`, the closest first) that
+    has any: subject, level, conclusion, n, last_seen and the level's newest `examples` (ids, ties to the lesser one). A level is
+    one or more sets of keys, of which any may agree. A subject is not its own history, and null keys agree with nothing."""
+    found = None
+    open_ = subjects.select(F.col(id_).alias("subject"), F.col(time).alias("_t"), *dict.fromkeys(c for level in levels for keys in level for c in keys))
+    for k, level in enumerate(levels):
+        met = None
+        for keys in level:
+            b = decided.select(F.col(id_).alias("_other"), F.col(time).alias("_u"), F.col(conclusion).alias("conclusion"), *keys)
+            some = open_.dropna(subset=list(keys)).join(b, list(keys)).filter((F.col("subject") != F.col("_other")) & (F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - window)).select("subject", "_other", "_u", "conclusion")
+            met = some if met is None else met.unionByName(some)
+        if len(level) > 1:
+            met = met.distinct()
+        newest = met.withColumn("_at", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("_u"), "_other"))).filter(F.col("_at") <= examples)
+        shown = newest.groupBy("subject").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_other"))), lambda x: x["_other"]).alias("examples"))
+        counts = met.groupBy("subject", F.lit(k).alias("level"), "conclusion").agg(F.count("*").alias("n"), F.max("_u").alias("last_seen"))
+        one = written(counts.join(shown, "subject"), "history")
         found = one if found is None else found.unionByName(one)
         open_ = open_.join(one.select("subject").distinct(), "subject", "left_anti")  # the wide levels meet what is left
     return found

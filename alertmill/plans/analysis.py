@@ -103,15 +103,24 @@ def decided_after(t):
 
 # --- retrieval -----------------------------------------------------------------------------------
 
-LEVELS = [["rule_id", "agent_name", "srcip"], ["rule_id", "agent_name"], ["rule_id", "srcip"], ["rule_id", "severity"]]
-HISTORY = "\nUNION ALL ".join(f"""SELECT a.alert_id AS subject, {k} AS level, b.status AS conclusion, b.decided AS u FROM alerts a JOIN decided b ON {' AND '.join(f'a.{c} = b.{c}' for c in keys)} AND a.alert_id <> b.alert_id AND b.decided < a.t AND b.decided >= a.t - 7776000000000""" for k, keys in enumerate(LEVELS))
-
-
-@query(with_(ALERTS, f"decided AS (SELECT * FROM alerts WHERE decided IS NOT NULL), h AS ({HISTORY})") + """SELECT subject, level, conclusion, count(*) AS n, max(u) AS last_seen FROM h WHERE (subject, level) IN (SELECT (subject, min(level)) FROM h GROUP BY subject) GROUP BY ALL""")
+#: Ticket, cluster, scenario and host, rule and host, rule and source address or user, category and host.
+LEVELS = [
+    [["ticket"]], [["rule_id", "srcip", "dstip", "agent_name"]], [["scenario", "agent_name"]], [["rule_id", "agent_name"]],
+    [["rule_id", "source_ip"], ["rule_id", "alert_user"]], [["category", "agent_name"]],
+]
+KEYED = """keyed AS (SELECT *, CASE WHEN k % 4 = 0 THEN k % 70 END AS ticket, CASE WHEN k % 3 = 0 THEN 's' || (k % 6) END AS scenario, nullif(srcip, '') AS source_ip, CASE WHEN rule_level % 5 > 0 THEN rule_level % 5 END AS category FROM alerts)"""
+HISTORY = "\nUNION ALL ".join(f"""SELECT DISTINCT a.alert_id AS subject, {k} AS level, b.status AS conclusion, b.decided AS u, b.alert_id AS other FROM keyed a JOIN keyed b ON b.decided IS NOT NULL AND {' AND '.join(f'a.{c} = b.{c}' for c in keys)} AND a.alert_id <> b.alert_id AND b.decided < a.t AND b.decided >= a.t - 7776000000000""" for k, level in enumerate(LEVELS) for keys in level)
+BEST = "best AS (SELECT DISTINCT * FROM h WHERE (subject, level) IN (SELECT (subject, min(level)) FROM h GROUP BY subject))"
+SHOWN = "shown AS (SELECT subject, string_agg(other, ',' ORDER BY r) AS examples FROM (SELECT *, row_number() OVER (PARTITION BY subject ORDER BY u DESC, other) AS r FROM best) WHERE r <= 3 GROUP BY subject)"
+
+
+@query(with_(ALERTS, KEYED, f"h AS ({HISTORY})", BEST, SHOWN) + "SELECT subject, level, conclusion, count(*) AS n, max(u) AS last_seen, any_value(examples) AS examples FROM best JOIN shown USING (subject) GROUP BY subject, level, conclusion")
 def history_cascade(t):
-    a = M.alerts(t).withColumn("at", F.col("t"))
-    d = a.filter("decided is not null").withColumn("at", F.col("decided"))
-    return retrieve.history(a, d, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY)
+    k, level = F.col("k"), F.col("rule_level") % 5
+    a = M.alerts(t).withColumns({"ticket": F.when(k % 4 == 0, k % 70), "scenario": F.when(k % 3 == 0, F.concat(F.lit("s"), (k % 6).cast("string"))), "source_ip": F.nullif("srcip", F.lit("")), "category": F.when(level > 0, level)})
+    subjects, decided = a.withColumn("at", F.col("t")), a.filter("decided is not null").withColumn("at", F.col("decided"))
+    found = retrieve.history(subjects, decided, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY)
+    return found.withColumn("examples", F.concat_ws(",", F.transform("examples", lambda x: x.cast("string"))))
 
 
 #: Knowledge entries: benchmark items, each with a category and tags.
