@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from alertmill.llm.chat import SQL as CHAT_SQL
 from alertmill.llm.common import table
+from alertmill.llm.filteraudit import SQL as AUDIT_SQL
 
 
 def word_tokenizer_path() -> str:
@@ -77,6 +78,18 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "pages"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.spelling import variants
+
+    return variants(table(spark, sf_dir, "documents"))
+
+
+def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.filteraudit import audit
+
+    return audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pii": op1_pii,
     "op2_neardup": op2_neardup,
@@ -88,6 +101,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_lines": op8_lines,
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
+    "op11_spelling": op11_spelling,
+    "op13_filters": op13_filters,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_chat": CHAT_SQL}
+ORACLE_SQL: dict[str, str] = {"op5_chat": CHAT_SQL, "op13_filters": AUDIT_SQL}
