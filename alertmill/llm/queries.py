@@ -84,6 +84,12 @@ def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants(table(spark, sf_dir, "documents"))
 
 
+def op12_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from alertmill.llm.maintext import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
 def op13_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     from alertmill.llm.filteraudit import audit
 
@@ -102,6 +108,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality": op9_quality,
     "op10_warc": op10_warc,
     "op11_spelling": op11_spelling,
+    "op12_html": op12_html,
     "op13_filters": op13_filters,
 }
 
