@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -67,15 +67,54 @@ def violations(alerts: DataFrame) -> DataFrame:
     return alerts.select("alert_id", F.explode(broken).alias("constraint"))
 
 
-def notices(rows: DataFrame, key: str, order: Sequence[str], terminal: Sequence[str], keep: Sequence[str]) -> DataFrame:
-    """The last accepted notice of each ticket: those after the first terminal one are ignored; `keep` columns hold their
-    last known value."""
-    from pyspark.sql import Window
+# --- review notices ---------------------------------------------------------------------------------
 
-    w = Window.partitionBy(key).orderBy(*order)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    out = rows.withColumn("_done", F.coalesce(F.max(F.col("status").isin(*terminal).cast("int")).over(before), F.lit(0))).filter("_done = 0").drop("_done")
-    out = out.withColumns({c: F.last(c, ignorenulls=True).over(upto) for c in keep})
-    last = F.max_by(F.struct(*out.columns), F.struct(*order)).alias("n")
-    return out.groupBy(key).agg(last, F.count("*").alias("accepted")).select("n.*", "accepted")
+#: The states a ticket does not come back from by itself, and what a notice without them leaves as it is.
+TERMINAL = ("undone", "false_positive", "expired")
+KEPT_WHEN_NULL = ("decided_by", "decided_at", "result")
+NOTICE = ("sent_at", "status", *KEPT_WHEN_NULL)
+APPLIED = "outcome string, reason string, last_sent long, stored_status string, stored_decided_by string, stored_decided_at long, stored_result string"
+
+
+def apply_notice(stored: tuple | None, notice: tuple) -> tuple[tuple, str, str | None]:
+    """The ticket after a notice (both as NOTICE), the outcome and why a notice was ignored: stale (sent before the last one),
+    terminal (would open an ended ticket), decided (would open one that a later decision kept)."""
+    if stored is None:
+        return notice, "created", None
+    sent, status, *kept = notice
+    last, was, _, decided_at, _ = stored
+    if sent < last:
+        return stored, "ignored", "stale"
+    if status == "open" and was in TERMINAL:
+        return stored, "ignored", "terminal"
+    if status == "open" and was == "kept" and decided_at is not None and decided_at > sent:
+        return stored, "ignored", "decided"
+    return (sent, status, *(b if b is not None else a for a, b in zip(stored[2:], kept, strict=True))), "updated", None
+
+
+def plain(values: Iterable) -> tuple:
+    """Cells of a pandas row: missing ones as None, numbers as Python's."""
+    return tuple(None if x is None or x is pd.NA or x is pd.NaT or x != x else x.item() if hasattr(x, "item") else x for x in values)
+
+
+def notices(rows: DataFrame, key: str = "id", order: Sequence[str] = ("arrival",)) -> DataFrame:
+    """Each notice (key, order and NOTICE columns) with its outcome and the ticket after it (APPLIED), applied in order of
+    arrival. Notices are streamed in sorted order; a ticket's state is one row."""
+    names = [key, *order, *NOTICE]
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    ordered = rows.select(*names).repartition(key).sortWithinPartitions(key, *order)
+
+    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held, stored = None, None
+        for frame in frames:
+            out = []
+            for row in frame.astype(object).itertuples(index=False, name=None):
+                row = plain(row)
+                if row[0] != held:
+                    held, stored = row[0], None
+                stored, outcome, reason = apply_notice(stored, row[1 + len(order) :])
+                out.append((*row[: 1 + len(order)], outcome, reason, *stored))
+            yield pd.DataFrame(out, columns=columns, dtype=object)
+
+    columns = [key, *order, *(c.split()[0] for c in APPLIED.split(", "))]
+    return ordered.mapInPandas(fold, ", ".join([*(f"{n} {kinds[n]}" for n in (key, *order)), APPLIED]))
