@@ -3,38 +3,58 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
+from alertmill.operators.prefix import joint, numbered, running
 from alertmill.sources.scratch import written
 
 
-def history(subjects: DataFrame, decided: DataFrame, levels: Sequence[Sequence[Sequence[str]]], id_: str, conclusion: str, time: str, window: int, examples: int = P.HISTORY_EXAMPLES) -> DataFrame:
+def history(subjects: DataFrame, decided: DataFrame, levels: Sequence[Sequence[Sequence[str]]], id_: str, conclusion: str, time: str, window: int, conclusions: Sequence[str], examples: int = P.HISTORY_EXAMPLES, slot: int = 7 * 86_400_000_000) -> DataFrame:
     """Counts by conclusion of earlier decisions like each subject's, at the first level (of `levels`, the closest first) that
     has any: subject, level, conclusion, n, last_seen and the level's newest `examples` (ids, ties to the lesser one). A level is
-    one or more sets of keys, of which any may agree. A subject is not its own history, and null keys agree with nothing."""
-    found = None
-    open_ = subjects.select(F.col(id_).alias("subject"), F.col(time).alias("_t"), *dict.fromkeys(c for level in levels for keys in level for c in keys))
-    for k, level in enumerate(levels):
-        met = None
-        for keys in level:
-            b = decided.select(F.col(id_).alias("_other"), F.col(time).alias("_u"), F.col(conclusion).alias("conclusion"), *keys)
-            some = open_.dropna(subset=list(keys)).join(b, list(keys)).filter((F.col("subject") != F.col("_other")) & (F.col("_u") < F.col("_t")) & (F.col("_u") >= F.col("_t") - window)).select("subject", "_other", "_u", "conclusion")
-            met = some if met is None else met.unionByName(some)
-        if len(level) > 1:
-            met = met.distinct()
-        newest = met.withColumn("_at", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("_u"), "_other"))).filter(F.col("_at") <= examples)
-        shown = newest.groupBy("subject").agg(F.transform(F.sort_array(F.collect_list(F.struct("_at", "_other"))), lambda x: x["_other"]).alias("examples"))
-        counts = met.groupBy("subject", F.lit(k).alias("level"), "conclusion").agg(F.count("*").alias("n"), F.max("_u").alias("last_seen"))
-        one = written(counts.join(shown, "subject"), "history")
-        found = one if found is None else found.unionByName(one)
-        open_ = open_.join(one.select("subject").distinct(), "subject", "left_anti")  # the wide levels meet what is left
-    return found
+    one or more sets of keys, of which any may agree; null keys agree with nothing. conclusions: the closed set that counts. A
+    decision is not earlier than its own subject, so that none is its own history.
+
+    No pairs are made: counts run along the decisions of each key in order of time, and a subject reads them at both ends of its
+    window, for all levels at once; the examples are fetched by their number in that order."""
+    combos = [(level, sets, -1 if n % 2 == 0 else 1) for level, all_sets in enumerate(levels) for n in range(1, len(all_sets) + 1) for sets in combinations(all_sets, n)]
+
+    def each(df: DataFrame, *columns: Column) -> DataFrame:
+        made = []
+        for k, (level, sets, sign) in enumerate(combos):
+            keys = list(dict.fromkeys(c for s in sets for c in s))
+            usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in keys])
+            made.append(F.when(usable, F.struct(F.lit(k).alias("combo"), F.lit(level).alias("level"), F.lit(sign).alias("sign"), F.lit(len(sets) == 1).alias("single"), joint(keys).alias("key"))))
+        return df.select(*columns, F.explode(F.filter(F.array(*made), lambda c: c.isNotNull())).alias("_c")).select("*", "_c.*").drop("_c")
+
+    events = each(decided.filter(F.col(conclusion).isin(*conclusions)), F.col(id_).alias("other"), F.col(time).alias("t"), F.col(conclusion).alias("conclusion"))
+    events = written(events.select("combo", "key", "t", "other", "conclusion"), "decided")
+    ends = F.explode(F.array(F.struct(F.col("at").alias("t"), F.lit(1).alias("end")), F.struct((F.col("at") - window).alias("t"), F.lit(-1).alias("end")))).alias("e")
+    known = events.select("combo", "key").distinct()
+    asks = each(subjects, F.col(id_).alias("subject"), F.col(time).alias("at")).join(known, ["combo", "key"], "left_semi").select("subject", "at", "combo", "level", "sign", "single", "key", ends).select("*", "e.*").drop("e")
+    counts = {f"n_{c}": (F.col("conclusion") == c).cast("long") for c in conclusions}
+    newest = {f"last_{c}": F.when(F.col("conclusion") == c, F.col("t")) for c in conclusions}
+    read = running(events, asks, ["combo", "key"], slot, {**counts, "n": F.lit(1).cast("long")}, newest)
+    within = lambda c: F.max(F.when((F.col("end") == 1) & (F.col(f"last_{c}") >= F.col("at") - window), F.col(f"last_{c}")))
+    place = F.struct("combo", "key", F.when(F.col("end") == 1, F.col("n")).alias("hi"), F.when(F.col("end") == -1, F.col("n")).alias("lo"))
+    found = read.groupBy("subject", "level").agg(*(F.sum(F.col("sign") * F.col("end") * F.col(f"n_{c}")).alias(f"n_{c}") for c in conclusions), *(within(c).alias(f"last_{c}") for c in conclusions), F.sum(F.col("sign") * F.col("end") * F.col("n")).alias("n"), F.collect_list(F.when(F.col("single"), place)).alias("places"))
+    best = found.filter("n > 0").groupBy("subject").agg(F.min(F.struct("level", *(f"{x}_{c}" for c in conclusions for x in ("n", "last")), "places")).alias("b"))
+    best = written(best.select("subject", "b.*"), "history")
+
+    spans = best.select("subject", F.explode("places").alias("p")).groupBy("subject", "p.combo", "p.key").agg(F.max("p.hi").alias("hi"), F.max("p.lo").alias("lo")).filter("hi > lo")
+    fetch = spans.select("subject", "combo", "key", F.explode(F.sequence(F.greatest(F.col("lo") + 1, F.col("hi") - examples + 1), F.col("hi"))).alias("number"))
+    met = fetch.join(numbered(events, ["combo", "key"], slot, [F.desc("other")]), ["combo", "key", "number"]).select("subject", "t", "other").distinct()
+    shown = met.groupBy("subject").agg(F.slice(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("t")).alias("less"), "other"))), lambda x: x["other"]), 1, examples).alias("examples"))
+    told = F.explode(F.array(*(F.struct(F.lit(c).alias("conclusion"), F.col(f"n_{c}").alias("n"), F.col(f"last_{c}").alias("last_seen")) for c in conclusions))).alias("c")
+    return best.select("subject", "level", told).select("subject", "level", "c.*").filter("n > 0").join(shown, "subject")
 
 
 def overlap(subjects: DataFrame, entries: DataFrame, id_: str, entry: str, category: str, tags: str, limit: int = P.OVERLAP_CANDIDATES) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
-from alertmill.operators import enrich, evaluate, keyed, retrieve, sessions
+from alertmill.operators import enrich, evaluate, keyed, prefix, retrieve, sessions
 from alertmill.plans import model as M
 from alertmill.plans.model import ALERTS, CASES, DIMENSIONS, PREDICTIONS, RUNS, Tables, with_
 from alertmill.plans.registry import query
@@ -61,43 +61,46 @@ PAIRS = """pairs AS (SELECT a.alert_id AS left_id, b.alert_id AS right_id FROM a
   AND (a.agent_name = b.agent_name OR a.alert_user = b.alert_user OR (a.srcip <> '' AND a.srcip = b.srcip)))"""
 
 
-def correlated(t: Tables) -> DataFrame:
-    keys = [("agent_name", F.lit(True)), ("alert_user", F.lit(True)), ("srcip", F.col("srcip") != "")]
-    return keyed.linked_pairs(M.alerts(t), "alert_id", "t", keys, P.CORRELATION_WINDOW_S * 1_000_000)
+def links() -> list:
+    """Which keys may link two alerts, and when."""
+    return [("agent_name", F.lit(True)), ("alert_user", F.lit(True)), ("srcip", F.col("srcip") != "")]
+
+
+BESIDE = P.CORRELATION_WINDOW_S * 1_000_000
 
 
 @query(with_(ALERTS, PAIRS) + "SELECT left_id, count(*) AS n, count(DISTINCT rule_id) AS rules, max(rule_level) AS worst FROM pairs JOIN alerts ON alert_id = right_id GROUP BY left_id")
 def correlation_summary(t):
-    right = M.alerts(t).select(F.col("alert_id").alias("right_id"), "rule_id", "rule_level")
-    return correlated(t).join(right, "right_id").groupBy("left_id").agg(F.count("*").alias("n"), F.count_distinct("rule_id").alias("rules"), F.max("rule_level").alias("worst"))
+    a = M.alerts(t)
+    by_rule = prefix.beside(a, "alert_id", "t", links(), BESIDE, "rule_id").groupBy("subject").agg(F.sum("n").alias("n"), F.count("*").alias("rules"))
+    worst = prefix.best_beside(a, "alert_id", "t", links(), BESIDE, "rule_level", 1).join(a.select(F.col("alert_id").alias("other"), F.col("rule_level").alias("worst")), "other")
+    return by_rule.join(worst.select("subject", "worst"), "subject").withColumnRenamed("subject", "left_id")
 
 
 @query(with_(ALERTS, PAIRS) + """SELECT left_id, rule_id, n, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY n DESC, rule_id) AS r
   FROM (SELECT left_id, rule_id, count(*) AS n, max(t) AS last_seen FROM pairs JOIN alerts ON alert_id = right_id GROUP BY 1, 2)) WHERE r <= 20""")
 def correlation_groups(t):
-    right = M.alerts(t).select(F.col("alert_id").alias("right_id"), "rule_id", "t")
-    groups = correlated(t).join(right, "right_id").groupBy("left_id", "rule_id").agg(F.count("*").alias("n"), F.max("t").alias("last_seen"))
+    groups = prefix.beside(M.alerts(t), "alert_id", "t", links(), BESIDE, "rule_id").select(F.col("subject").alias("left_id"), F.col("group").alias("rule_id"), "n", "last_seen")
     return keyed.top_groups(groups, ["rule_id"], P.CORRELATION_GROUPS, [F.desc("n"), F.col("rule_id")], ["left_id"])
 
 
 @query(with_(ALERTS, PAIRS) + """SELECT left_id, right_id, r FROM (SELECT left_id, right_id, row_number() OVER (PARTITION BY left_id ORDER BY rule_level DESC, t, right_id) AS r FROM pairs JOIN alerts ON alert_id = right_id) WHERE r <= 5""")
 def correlation_samples(t):
-    right = M.alerts(t).select(F.col("alert_id").alias("right_id"), "rule_level", "t")
-    order = Window.partitionBy("left_id").orderBy(F.desc("rule_level"), "t", "right_id")
-    return correlated(t).join(right, "right_id").withColumn("r", F.row_number().over(order)).filter(F.col("r") <= P.CORRELATION_SAMPLES).select("left_id", "right_id", "r")
+    best = prefix.best_beside(M.alerts(t), "alert_id", "t", links(), BESIDE, "rule_level", P.CORRELATION_SAMPLES)
+    return best.select(F.col("subject").alias("left_id"), F.col("other").alias("right_id"), F.col("place").alias("r"))
 
 
 @query(recursive(with_(ALERTS, FOLD)) + """SELECT a.first_id AS left_id, count(DISTINCT b.first_id) AS n FROM closed a JOIN closed b ON a.first_id <> b.first_id AND a.agent_name = b.agent_name
   AND b.first_seen <= a.last_seen + 7200000000 AND b.last_seen >= a.first_seen - 7200000000 GROUP BY 1""")
 def overlap_correlation(t):
-    pairs = keyed.overlapping_pairs(clusters(t), "first_id", "first_seen", "last_seen", [("agent_name", F.lit(True))], P.CORRELATION_WINDOW_S * 1_000_000)
-    return pairs.groupBy("left_id").agg(F.count("*").alias("n"))
+    return prefix.overlapping(clusters(t), "first_id", "first_seen", "last_seen", [("agent_name", F.lit(True))], BESIDE, 7 * M.DAY).withColumnRenamed("subject", "left_id")
 
 
 @query(with_(ALERTS, PAIRS) + "SELECT left_id, count(*) AS n FROM pairs JOIN alerts a ON a.alert_id = left_id JOIN alerts b ON b.alert_id = right_id WHERE b.decided > a.t GROUP BY 1")
 def decided_after(t):
     a = M.alerts(t)
-    met = correlated(t).join(a.select(F.col("alert_id").alias("left_id"), "t"), "left_id").join(a.select(F.col("alert_id").alias("right_id"), "decided"), "right_id")
+    pairs = keyed.linked_pairs(a, "alert_id", "t", links(), BESIDE)
+    met = pairs.join(a.select(F.col("alert_id").alias("left_id"), "t"), "left_id").join(a.select(F.col("alert_id").alias("right_id"), "decided"), "right_id")
     return met.filter("decided > t").groupBy("left_id").agg(F.count("*").alias("n"))
 
 
@@ -119,7 +122,7 @@ def history_cascade(t):
     k, level = F.col("k"), F.col("rule_level") % 5
     a = M.alerts(t).withColumns({"ticket": F.when(k % 4 == 0, k % 70), "scenario": F.when(k % 3 == 0, F.concat(F.lit("s"), (k % 6).cast("string"))), "source_ip": F.nullif("srcip", F.lit("")), "category": F.when(level > 0, level)})
     subjects, decided = a.withColumn("at", F.col("t")), a.filter("decided is not null").withColumn("at", F.col("decided"))
-    found = retrieve.history(subjects, decided, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY)
+    found = retrieve.history(subjects, decided, LEVELS, "alert_id", "status", "at", P.HISTORY_DAYS * M.DAY, ("queued", "auto_closed", "closed", "escalated"))
     return found.withColumn("examples", F.concat_ws(",", F.transform("examples", lambda x: x.cast("string"))))
 
 
