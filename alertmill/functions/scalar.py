@@ -118,24 +118,11 @@ def ipv4_number(ip: Column) -> Column:
     return F.when(ip.rlike(f"^{_OCTET}([.]{_OCTET}){{3}}$"), number)
 
 
-def in_ipv4_net(ip: Column, net: str) -> Column:
-    """Whether an address lies in a network; false where either can't be read, null for a null address."""
-    try:
-        n = ipaddress.ip_network(net, strict=False)
-    except ValueError:
-        return F.when(ip.isNotNull(), F.lit(False))
-    if n.version != 4:
-        return F.when(ip.isNotNull(), F.lit(False))
-    first, last = int(n.network_address), int(n.broadcast_address)
-    return F.when(ip.isNotNull(), F.coalesce(ipv4_number(ip).between(first, last), F.lit(False)))
-
-
-#: Networks that are private, loopback, link-local or reserved.
 PRIVATE_NETS = ("0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4")
 
 
 def is_private_ipv4(ip: Column) -> Column:
-    """Null if there is no readable IPv4 address (textsafety.is_private reads IPv6 too)."""
+    """Null if there is no readable IPv4 address (networks.is_private6 reads the others)."""
     nets = [ipaddress.ip_network(n) for n in PRIVATE_NETS]
 
     def inside(n: Column) -> Column:
@@ -227,8 +214,9 @@ def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:
 
 
 def rate_cell(num: Column, den: Column) -> Column:
-    """A rate as text with its counts; n/a with nothing to divide."""
-    return F.when(den == 0, "n/a").otherwise(F.format_string("%.3f (%d / %d)", num / den, num, den))
+    """A rate as text with its counts, thousandths rounded half up; n/a with nothing to divide."""
+    thousandths = F.call_function("div", 2000 * num + den, 2 * den)
+    return F.when(den == 0, "n/a").otherwise(F.format_string("%d.%03d (%d / %d)", F.call_function("div", thousandths, F.lit(1000)), thousandths % 1000, num, den))
 
 
 def ms_cell(value: Column) -> Column:

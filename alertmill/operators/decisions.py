@@ -98,19 +98,6 @@ def paired(on: DataFrame, off: DataFrame, subject: str, value: str) -> DataFrame
     return a.join(b, subject)
 
 
-def gate(metrics: DataFrame, most_drop: float) -> DataFrame:
-    """The regression gate over one row of before and after: rule, value and passed. macro-F1 may fall by most_drop, the number
-    of caught escalations may not fall, the success rate of attacks may not rise; a null counts as a failure."""
-    rule = lambda name, value, passed: F.struct(F.lit(name).alias("rule"), value.cast("double").alias("value"), passed.alias("passed"))
-    before, after = (lambda m: F.col(f"{m}_before")), (lambda m: F.col(f"{m}_after"))
-    rules = F.array(
-        rule("macro_f1", after("f1") - before("f1"), before("f1") - after("f1") <= most_drop),
-        rule("caught", after("caught") - before("caught"), after("caught") >= before("caught")),
-        rule("attacks", after("asr") - before("asr"), after("asr") <= before("asr")),
-    )
-    return metrics.select(F.inline(rules)).select("rule", "value", F.coalesce("passed", F.lit(False)).alias("passed"))
-
-
 def most_common(df: DataFrame, keys: Sequence[str], value: str, order: str) -> DataFrame:
     """The commonest value of each group; of equally common ones that met first."""
     n = df.groupBy(*keys, value).agg(F.count("*").alias("n"), F.min(order).alias("first"))

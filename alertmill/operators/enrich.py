@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
+from alertmill.functions.networks import in_network, is_private6
 
 
 def with_asset(alerts: DataFrame, assets: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -32,7 +33,7 @@ def with_identity(alerts: DataFrame, identities: DataFrame, user: str = "alert_u
 
 def with_reputation(alerts: DataFrame, iocs: DataFrame, id_: str, addresses: Sequence[str], as_of: int) -> DataFrame:
     """Adds reputation: the worst of the unexpired entries of the row's public addresses; skipped without such."""
-    public = [F.when((F.col(a) != "") & ~F.coalesce(S.is_private_ipv4(F.col(a)), F.lit(False)), F.col(a)) for a in addresses]
+    public = [F.when((F.col(a) != "") & ~F.coalesce(S.is_private_ipv4(F.col(a)), is_private6(F.col(a)), F.lit(False)), F.col(a)) for a in addresses]
     asked = alerts.select(id_, F.explode(F.array_distinct(F.filter(F.array(*public), lambda a: a.isNotNull()))).alias("value"))
     rank = F.array_position(F.array(*map(F.lit, P.REPUTATIONS)), F.col("reputation"))
     worst = iocs.filter(F.col("expires") > as_of).groupBy("value").agg(F.max_by("reputation", rank).alias("reputation"))
@@ -62,7 +63,7 @@ def compiled_rule(match: str) -> Column | None:
         elif op == "cidr":
             if not isinstance(value, str):
                 return None
-            test = S.in_ipv4_net(field, value)
+            test = in_network(field, value)
         elif op == "prefix":
             if not isinstance(value, str):
                 return None

@@ -315,15 +315,6 @@ def paired_runs(t):
     return both.groupBy("lang").agg(F.count("*").alias("n"), F.count_if(F.col("on") == F.col("truth")).alias("on_right"), F.count_if(F.col("off") == F.col("truth")).alias("off_right"))
 
 
-@query(with_(PREDICTIONS) + """, m AS (SELECT avg(CASE WHEN second = truth THEN 1.0 ELSE 0 END) AS f1_before, avg(CASE WHEN verdict = truth THEN 1.0 ELSE 0 END) AS f1_after, count(*) FILTER (WHERE second = truth AND truth = 'escalate') AS cb, count(*) FILTER (WHERE verdict = truth AND truth = 'escalate') AS ca FROM predictions)
-  SELECT 'macro_f1' AS rule, round(f1_after - f1_before, 9) AS value, f1_before - f1_after <= 0.02 AS passed FROM m UNION ALL SELECT 'caught', CAST(ca - cb AS DOUBLE), ca >= cb FROM m UNION ALL SELECT 'attacks', NULL, false FROM m""")
-def regression_gate(t):
-    right = lambda c: F.avg(F.when(F.col(c) == F.col("truth"), 1.0).otherwise(0.0))
-    caught = lambda c: F.count_if((F.col(c) == F.col("truth")) & (F.col("truth") == "escalate"))
-    m = M.predictions(t).agg(right("second").alias("f1_before"), right("verdict").alias("f1_after"), caught("second").alias("caught_before"), caught("verdict").alias("caught_after"), F.lit(0.1).alias("asr_before"), F.lit(None).cast("double").alias("asr_after"))
-    return D.gate(m, 0.02).withColumn("value", F.round("value", 9))
-
-
 @query(with_(ALERTS) + "SELECT rule_id, " + ", ".join(f"count(*) FILTER (WHERE severity = '{s}') AS {s}" for s in P.SEVERITIES) + ", count(*) * 1.0 / (SELECT count(*) FROM alerts) AS share FROM alerts GROUP BY rule_id")
 def coverage_grid(t):
     a = M.alerts(t)
@@ -338,14 +329,6 @@ def labeller_vs_truth(t):
     return M.predictions(t).groupBy("source").agg(F.count("*").alias("n"), F.count_if(F.col("second") == F.col("truth")).alias("same"))
 
 
-@query(with_(PREDICTIONS) + """SELECT lang, count(*) AS n, count(*) FILTER (WHERE verdict = 'escalate' AND truth = 'escalate') * 1.0 / nullif(count(*) FILTER (WHERE truth = 'escalate'), 0) AS recall, count(*) FILTER (WHERE verdict = 'escalate' AND truth = 'escalate') * 1.0 / nullif(count(*) FILTER (WHERE verdict = 'escalate'), 0) AS precision,
-  count(*) FILTER (WHERE verdict = 'needs_review') AS held, count(*) FILTER (WHERE verdict IS NULL) AS unanswered, count(*) FILTER (WHERE score >= 0.65) * 1.0 / count(*) AS covered FROM predictions GROUP BY lang""")
-def lab_summary(t):
-    v, truth = F.col("verdict"), F.col("truth")
-    hit = F.count_if((v == "escalate") & (truth == "escalate")).cast("double")
-    return M.predictions(t).groupBy("lang").agg(F.count("*").alias("n"), F.try_divide(hit, F.count_if(truth == "escalate")).alias("recall"), F.try_divide(hit, F.count_if(v == "escalate")).alias("precision"), F.count_if(v == "needs_review").alias("held"), F.count_if(v.isNull()).alias("unanswered"), (F.count_if(F.col("score") >= 0.65) / F.count("*")).alias("covered"))
-
-
 @query("SELECT technique, count(*) AS n, via, name FROM (SELECT technique, CASE WHEN e.name IS NOT NULL THEN 'exact' WHEN p.name IS NOT NULL THEN 'parent' END AS via, coalesce(e.name, p.name) AS name FROM (SELECT CASE p_partkey % 4 WHEN 0 THEN 'T' || (p_partkey % 30) WHEN 1 THEN 'T' || (p_partkey % 30) || '.001' ELSE 'X' END AS technique FROM part) x LEFT JOIN (SELECT 'T' || n_nationkey AS id, n_name AS name FROM nation) e ON e.id = technique LEFT JOIN (SELECT 'T' || n_nationkey AS id, n_name AS name FROM nation) p ON p.id = split_part(technique, '.', 1)) GROUP BY ALL")
 def technique_lookup(t):
     k = F.col("p_partkey")
@@ -376,13 +359,16 @@ def kept_matches(t):
     return kept.select("doc_id", "score", S.match_level(F.col("score")).isNotNull().alias("has_level"), F.col("place").cast("long").alias("place"))
 
 
-@query(with_(ALERTS) + "SELECT kind, value, n, place FROM (SELECT *, row_number() OVER (ORDER BY kind_order, n DESC, value) AS place FROM (SELECT 'srcip' AS kind, 0 AS kind_order, srcip AS value, count(*) AS n FROM alerts WHERE srcip <> '' GROUP BY srcip UNION ALL SELECT 'user', 1, alert_user, count(*) FROM alerts WHERE alert_user IS NOT NULL GROUP BY alert_user)) WHERE place <= 50")
+@query(with_(ALERTS) + """, each AS (SELECT agent_name, 'srcip' AS kind, 0 AS o, srcip AS value, count(*) AS n FROM alerts WHERE srcip <> '' GROUP BY ALL UNION ALL SELECT agent_name, 'user', 1, alert_user, count(*) FROM alerts WHERE alert_user IS NOT NULL GROUP BY ALL
+    UNION ALL SELECT agent_name, 'dstip', 2, dstip, count(*) FROM alerts GROUP BY ALL)
+  SELECT agent_name, kind, value, n, place FROM (SELECT *, row_number() OVER (PARTITION BY agent_name ORDER BY o, n DESC, value) AS place FROM each) WHERE place <= 50""")
 def ranked_entities(t):
+    """The entities of each host's case, by kind and count, to the feature's cap for a case."""
     a = M.alerts(t)
-    of = lambda kind, order, c, which: a.filter(which).groupBy(F.col(c).alias("value")).agg(F.count("*").alias("n")).select(F.lit(kind).alias("kind"), F.lit(order).alias("o"), "value", "n")
-    each = of("srcip", 0, "srcip", "srcip <> ''").unionByName(of("user", 1, "alert_user", "alert_user is not null"))
-    first = each.orderBy("o", F.desc("n"), "value").limit(P.ENTITY_CAP)  # so the window below meets a few rows only
-    return first.select("kind", "value", "n", F.row_number().over(Window.orderBy("o", F.desc("n"), "value")).cast("long").alias("place"))
+    kinds = F.array(*(F.struct(F.lit(o).alias("o"), F.lit(kind).alias("kind"), F.col(c).alias("value")) for o, (kind, c) in enumerate((("srcip", "srcip"), ("user", "alert_user"), ("dstip", "dstip")))))
+    each = a.select("agent_name", F.explode(kinds).alias("e")).select("agent_name", "e.*").filter("value is not null and value <> ''").groupBy("agent_name", "o", "kind", "value").agg(F.count("*").alias("n"))
+    first = keyed.top_groups(each.withColumn("place", F.row_number().over(Window.partitionBy("agent_name").orderBy("o", F.desc("n"), "value"))), ["value"], P.ENTITY_CAP, [F.col("place")], ["agent_name"])
+    return first.select("agent_name", "kind", "value", "n", F.col("place").cast("long").alias("place"))
 
 
 @query(with_(ALERTS) + "SELECT alert_id, array_to_string(list_sort(list_distinct(list_filter([CASE k % 4 WHEN 0 THEN 'linux' WHEN 1 THEN 'web' END, CASE k % 3 WHEN 0 THEN 'auth' WHEN 1 THEN 'web' END], lambda x: x IS NOT NULL))), ',') AS tags FROM alerts")
@@ -399,13 +385,18 @@ def newest_lookup(t):
     return before.groupBy("subject_id").agg(F.max_by("run_id", F.struct("created", "run_id")).alias("run_id"))
 
 
-@query(with_(RUNS) + "SELECT subject_id, run_id, place, n > 3 AS truncated FROM (SELECT subject_id, run_id, row_number() OVER (PARTITION BY subject_id ORDER BY created DESC, run_id DESC) AS back, count(*) OVER (PARTITION BY subject_id) AS n, least(count(*) OVER (PARTITION BY subject_id), 3) - row_number() OVER (PARTITION BY subject_id ORDER BY created DESC, run_id DESC) + 1 AS place FROM runs) WHERE back <= 3")
+HISTORY_ROWS = 200
+
+
+@query(with_(RUNS) + f"""SELECT pool, run_id, least(n, {HISTORY_ROWS}) - back + 1 AS place, n > {HISTORY_ROWS} AS truncated FROM (SELECT subject_id % 20 AS pool, run_id, row_number() OVER (PARTITION BY subject_id % 20 ORDER BY created DESC, run_id DESC) AS back,
+  count(*) OVER (PARTITION BY subject_id % 20) AS n FROM runs) WHERE back <= {HISTORY_ROWS}""")
 def ticket_history(t):
-    """The newest rows of each subject, the oldest of them first, and whether there are more; at a limit of 3 here."""
-    w = Window.partitionBy("subject_id").orderBy(F.desc("created"), F.desc("run_id"))
-    over = M.runs(t).select("subject_id", "run_id", "created").withColumn("back", F.row_number().over(w)).filter("back <= 4")
-    n = F.count("*").over(Window.partitionBy("subject_id"))
-    return over.withColumn("n", n).filter("back <= 3").select("subject_id", "run_id", (F.least(F.col("n"), F.lit(3)) - F.col("back") + 1).alias("place"), (F.col("n") > 3).alias("truncated"))
+    """The newest 200 rows of each pool of subjects, the oldest of them first, and whether there are more. Spark cuts each task's
+    rows to the limit before the shuffle; the counts are a second, small aggregate."""
+    runs = M.runs(t).select((F.col("subject_id") % 20).alias("pool"), "run_id", "created")
+    newest = runs.withColumn("back", F.row_number().over(Window.partitionBy("pool").orderBy(F.desc("created"), F.desc("run_id")))).filter(F.col("back") <= HISTORY_ROWS)
+    n = runs.groupBy("pool").agg(F.count("*").alias("n"))
+    return newest.join(n, "pool").select("pool", "run_id", (F.least(F.col("n"), F.lit(HISTORY_ROWS)) - F.col("back") + 1).alias("place"), (F.col("n") > HISTORY_ROWS).alias("truncated"))
 
 
 @query(with_(PREDICTIONS) + "SELECT l.lang, count(*) AS n, count(*) FILTER (WHERE p.doc_id IS NULL) AS no_label FROM (SELECT doc_id, lang FROM documents) l LEFT JOIN predictions p ON p.doc_id = l.doc_id GROUP BY l.lang")

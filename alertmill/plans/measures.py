@@ -91,11 +91,10 @@ def baseline_verdicts(t):
     return M.alerts(t).groupBy("severity", evaluate.baseline_verdict(F.col("severity")).alias("verdict")).agg(F.count("*").alias("n"))
 
 
-@query(with_(ALERTS) + """SELECT agent_name, printf('%.3f (%d / %d)', closed / (n * 1.0), closed, n) AS rate, CASE WHEN worst IS NULL THEN 'n/a' ELSE worst || ' ms' END AS worst FROM (
-  SELECT agent_name, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) AS n, max(CASE WHEN k % 4 = 0 THEN k END) AS worst FROM alerts GROUP BY agent_name) WHERE closed = 0 OR closed = n OR n % 7 = 0""")
+@query(with_(ALERTS) + """SELECT agent_name, printf('%d.%03d (%d / %d)', m // 1000, m % 1000, closed, n) AS rate, CASE WHEN worst IS NULL THEN 'n/a' ELSE worst || ' ms' END AS worst FROM (
+  SELECT *, (2000 * closed + n) // (2 * n) AS m FROM (SELECT agent_name, count(*) FILTER (WHERE status = 'closed') AS closed, count(*) AS n, max(CASE WHEN k % 4 = 0 THEN k END) AS worst FROM alerts GROUP BY agent_name))""")
 def report_cells(t):
     g = M.alerts(t).groupBy("agent_name").agg(F.count_if(F.col("status") == "closed").alias("closed"), F.count("*").alias("n"), F.max(F.when(F.col("k") % 4 == 0, F.col("k"))).alias("worst"))
-    g = g.filter((F.col("closed") == 0) | (F.col("closed") == F.col("n")) | (F.col("n") % 7 == 0))  # no thousandth of these is a tie
     return g.select("agent_name", S.rate_cell(F.col("closed"), F.col("n")).alias("rate"), S.ms_cell(F.col("worst")).alias("worst"))
 
 

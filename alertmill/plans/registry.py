@@ -13,9 +13,11 @@ ORACLE_SQL: dict[str, str] = {}
 
 
 def query(sql: str | None = None):
-    """Registers a plan over Tables under its function's name."""
+    """Registers a plan over Tables under its function's name, which must be new."""
 
     def add(f: Callable[[Tables], DataFrame]):
+        if f.__name__ in QUERIES:
+            raise ValueError(f"{f.__name__} is registered twice")
         QUERIES[f.__name__] = lambda spark, sf_dir: f(Tables(spark, sf_dir))
         if sql:
             ORACLE_SQL[f.__name__] = sql

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from alertmill.functions import networks as N
 from alertmill.operators import keyed
 from alertmill.plans import model as M
 from alertmill.plans.model import ALERTS, CASES, DAY, DIMENSIONS, LAB, NOW, PREDICTIONS, RUNS, with_
@@ -123,7 +124,7 @@ def threat_top_values(t):
 
 @query(with_(DIMENSIONS) + f"SELECT value, min(expires) AS expires, count(DISTINCT source) AS feeds FROM iocs WHERE expires > {NOW} AND reputation <> 'clean' AND value NOT LIKE '10.%' GROUP BY value")
 def blocklist(t):
-    listed = M.iocs(t).filter((F.col("expires") > NOW) & (F.col("reputation") != "clean") & ~F.col("value").startswith("10."))
+    listed = M.iocs(t).filter((F.col("expires") > NOW) & (F.col("reputation") != "clean")).withColumn("value", N.blocklist_entry(F.lit("ip:port"), F.col("value"))).filter("value is not null")
     return listed.groupBy("value").agg(F.min("expires").alias("expires"), F.count_distinct("source").alias("feeds"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
+from alertmill.functions.networks import is_private6
 from alertmill.functions.textsafety import utf8_truncated
 
 #: All leaves are text: what can't be read as its type becomes its default, and never fails a row.
@@ -88,8 +89,8 @@ def parse(raw: DataFrame, column: str = "value") -> DataFrame:
         F.col("_found.category").alias("category"),
         F.col("_found.categories").alias("categories"),
         F.col("_found.resolved_by").alias("resolved_by"),
-        S.is_private_ipv4(F.col("_src")).alias("srcip_is_private"),
-        S.is_private_ipv4(F.col("_dst")).alias("dstip_is_private"),
+        F.coalesce(S.is_private_ipv4(F.col("_src")), is_private6(F.col("_src"))).alias("srcip_is_private"),
+        F.coalesce(S.is_private_ipv4(F.col("_dst")), is_private6(F.col("_dst"))).alias("dstip_is_private"),
     )
     return out
 
