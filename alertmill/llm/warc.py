@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import scratch_path
+from alertmill.llm.common import scratch_path, written
 
 VERSION = b"WARC/1.1\r\n"
 END = b"\r\n\r\n"
@@ -31,6 +31,8 @@ MAGIC = b"\x1f\x8b\x08"
 EMPTY_MEMBER = b"\x1f\x8b\x08\x00\x00\x00\x00\x00\x00\xff\x03\x00\x00\x00\x00\x00\x00\x00\x00\x00"
 MEMBER_BYTES = 16_000_000
 FILE_BYTES = 16_000_000
+#: Of a file that Spark can read as one value, and of a record's headers.
+MOST_BYTES, HEAD_BYTES = 1_900_000_000, 4096
 DATE = "2024-01-01T00:00:00Z"
 
 
@@ -180,17 +182,22 @@ def salvage(data: bytes) -> Salvage:
 
 def with_types(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload (binary), n, sha1 (hex) and first_id, which is the least page_id of those with an equal payload.
-    Rows that repeat a payload's least page_id are that page again, and so responses too; null ids come last."""
+    Rows that repeat a payload's least page_id are that page again, and so responses too; null ids come last.
+
+    Digests are counted without their payloads (a row for each task), and only those that several rows share are written and
+    joined: Spark sends them to all tasks if they are few, or else splits the rows of a frequent one."""
     payload = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload"))
     own = own.withColumns({"n": F.octet_length("payload").cast("long"), "sha1": F.sha1("payload")})
-    firsts = own.filter(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min("page_id").alias("first_id"))
-    return own.join(firsts, ["sha1", "n"], "left")
+    shared = own.filter(F.col("n") >= least_bytes).groupBy("sha1", "n").agg(F.min("page_id").alias("least"), F.count("*").alias("rows"))
+    shared = written(shared.filter("rows > 1").select("sha1", "n", "least", F.lit(True).alias("shared")), "digests")
+    first = F.when(F.col("shared"), F.col("least")).when(F.col("n") >= least_bytes, F.col("page_id"))
+    return own.join(shared, ["sha1", "n"], "left").select("sha1", "n", "page_id", "url", "payload", first.alias("first_id"))
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes: int = FILE_BYTES) -> None:
-    """A record for each row of pages, in files of about file_bytes before compression. Payloads are shuffled once, to meet
-    the least page_id of their digest; files are cut by a number of records, from the mean size of a page."""
+    """A record for each row of pages, in files of about file_bytes before compression. Files are cut by a number of records, from
+    the mean size of a page; so many of the largest would still be under MOST_BYTES, so that each file can be read as one value."""
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,8 +210,9 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, file_bytes
                 out.append(packed[:-1])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["packed"])
 
-    n, total = pages.agg(F.count("*"), F.sum(F.octet_length("html"))).first()
-    per_file = max(1, math.floor(file_bytes * n / max(total or 0, n, 1)))
+    size = F.octet_length("html").cast("long")
+    n, total, largest = pages.agg(F.count("*"), F.sum(size), F.max(size)).first()
+    per_file = max(1, min(math.floor(file_bytes * n / max(total or 0, n, 1)), MOST_BYTES // ((largest or 0) + HEAD_BYTES)))
     rows = with_types(pages, least_bytes).select("page_id", "url", "payload", "sha1", "first_id")
     rows.mapInArrow(pack, "packed binary").select(F.col("packed").cast("string").alias("value")).write.options(lineSep="\0", maxRecordsPerFile=per_file).text(path)
 
