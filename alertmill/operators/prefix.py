@@ -47,9 +47,9 @@ def beside(df: DataFrame, id_: str, time: str, keys: Sequence[tuple[str, Column]
     placed = rows.withColumn("slot", F.explode(F.sequence(F.floor((F.col("t") - window) / width), F.floor((F.col("t") + window) / width))))
     at = ["combo", "key", "slot"]
     there = placed.groupBy(*at, "g").agg(F.count("*").alias("rows"))
-    there = there.groupBy(*at).agg(F.collect_set("g").alias("groups"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
+    there = there.groupBy(*at).agg(F.collect_set(F.struct("g")).alias("groups"), F.sum("rows").alias("rows")).filter("rows > 1").drop("rows")
     asked = rows.withColumn("slot", F.col("own")).join(written(there, "groups"), at)
-    asks = asked.withColumn("_g", F.explode("groups")).select(*at, F.col("_g").alias("g"), "t", "subject", "sign", F.col("_g").eqNullSafe(F.col("g")).cast("long").alias("self"))
+    asks = asked.withColumn("_g", F.explode("groups.g")).select(*at, F.col("_g").alias("g"), "t", "subject", "sign", F.col("_g").eqNullSafe(F.col("g")).cast("long").alias("self"))
     both = placed.select(*at, "g", "t", F.lit(None).cast(df.schema[id_].dataType).alias("subject"), F.lit(None).cast("int").alias("sign"), F.lit(0).cast("long").alias("self"), F.lit(1).alias("one"))
     both = both.unionByName(asks.withColumn("one", F.lit(0)))
     order = Window.partitionBy(*at, "g").orderBy("t")
@@ -68,7 +68,7 @@ def beside(df: DataFrame, id_: str, time: str, keys: Sequence[tuple[str, Column]
 
 def best_beside(df: DataFrame, id_: str, time: str, keys: Sequence[tuple[str, Column]], window: int, level: str, k: int, slots: int = 12) -> DataFrame:
     """subject, other and place (from 1): for each row the first k others by level (highest first), time and id of those that
-    agree with it in any key within `window` of its time.
+    agree with it in any key within `window` of its time. Rows without a level are nobody's.
 
     Rows are numbered by time within key, slot and level. Counts at both ends of a row's span say which numbers lie in it, so a
     row fetches the first k + 1 (one may be itself) of the highest levels by number, and never meets the rest."""

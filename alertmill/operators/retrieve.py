@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from alertmill import params as P
 from alertmill.functions import scalar as S
@@ -67,14 +68,54 @@ def overlap(subjects: DataFrame, entries: DataFrame, id_: str, entry: str, categ
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
+def words_of(text: Column) -> Column:
+    """The words of a text in order: parted by white space, in lower case."""
+    return F.filter(F.split(F.lower(text), r"\s+"), lambda w: w != "")
+
+
 def phrase_matches(queries: DataFrame, documents: DataFrame, id_: str, text: str) -> DataFrame:
-    """query and document of each document that holds all words of a query (words by blanks, in lower case)."""
-    words = lambda c: F.array_distinct(F.filter(F.split(F.lower(c), r"\s+"), lambda w: w != ""))
-    asked = queries.select("query", words(F.col("phrase")).alias("w")).filter(F.size("w") > 0)
-    each = asked.select("query", F.explode("w").alias("word"), F.size("w").alias("need"))
-    have = documents.select(F.col(id_).alias("document"), F.explode(words(F.col(text))).alias("word"))
-    met = have.join(each, "word").groupBy("query", "document").agg(F.count("*").alias("n"), F.first("need").alias("need"))
-    return met.filter("n = need").select("query", "document")
+    """query, document, w (the query's distinct words) and words (the document's) of each document that holds all words of a
+    query (query, phrase).
+
+    A document is met by a query's rarest word alone, and then asked for the others; so a frequent word makes no candidates."""
+    asked = written(queries.select("query", F.array_distinct(words_of(F.col("phrase"))).alias("w")).filter(F.size("w") > 0), "asked")
+    have = documents.select(F.col(id_).alias("document"), words_of(F.col(text)).alias("words"))
+    each = asked.select("query", F.explode("w").alias("word"))
+    postings = have.select("document", F.explode(F.array_distinct("words")).alias("word"))
+    often = postings.join(written(each.select("word").distinct(), "asked-words"), "word", "left_semi").groupBy("word").agg(F.count("*").alias("n"))
+    rarest = each.join(often, "word", "left").groupBy("query").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word")).alias("r")).filter("r.n > 0")
+    met = postings.join(written(rarest.select("query", F.col("r.word").alias("word")), "rarest"), "word").select("query", "document").distinct()
+    both = met.join(asked, "query").join(have, "document")
+    return both.filter(F.size(F.array_except("w", "words")) == 0)
+
+
+@F.pandas_udf(DoubleType())
+def cover_density(terms: pd.Series, count: pd.Series) -> pd.Series:
+    """For each list of terms in order of their places (place, term), of `count` different ones: the sum over its minimal covers
+    (spans that hold all terms, with none inside them) of 1 / (1 + the places that hold no term of their own)."""
+
+    def score(hits, n: int) -> float:
+        last: dict[str, int] = {}
+        before, total = -1, 0.0
+        for h in hits:
+            last[h["term"]] = h["place"]
+            if len(last) == n:
+                begin = min(last.values())
+                if begin > before:
+                    total += 1.0 / (1 + h["place"] - begin + 1 - n)
+                    before = begin
+        return total
+
+    return pd.Series([score(h, n) for h, n in zip(terms, count, strict=True)])
+
+
+def phrase_ranks(queries: DataFrame, documents: DataFrame, id_: str, text: str, limit: int) -> DataFrame:
+    """query, document, score and rank of the best documents of each query by cover density, ties to the lesser document."""
+    met = phrase_matches(queries, documents, id_, text)
+    placed = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("term"))), lambda h: F.array_contains("w", h["term"]))
+    scored = met.select("query", "document", cover_density(placed, F.size("w")).alias("score"))
+    order = Window.partitionBy("query").orderBy(F.desc("score"), "document")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 #: Numbers of a set of queries that are sent to every task: 8 MB as doubles.

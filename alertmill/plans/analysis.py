@@ -172,13 +172,27 @@ def hybrid_merge(t):
     return keyed.interleave(ranked.filter(F.col("rank") <= P.OVERLAP_CANDIDATES), b, "subject", "entry", "rank", P.MERGED_CANDIDATES).withColumn("position", F.col("position").cast("long"))
 
 
-@query("""WITH q AS (SELECT item_id AS query, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> ''))[1:4] AS w FROM benchmark),
-  d AS (SELECT doc_id AS document, list_distinct(list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')) AS w FROM documents)
-  SELECT query, count(*) AS documents FROM (SELECT query, document FROM (SELECT query, first_words.w AS need, document FROM (SELECT query, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '')[1:4] AS w FROM benchmark JOIN q ON query = item_id) first_words, d WHERE list_has_all(d.w, first_words.w))) GROUP BY query""")
+def phrases(t: Tables) -> DataFrame:
+    """Whole items, and the shorter phrases of their first four words."""
+    first = F.array_join(F.slice(retrieve.words_of(F.col("text")), 1, 4), " ")
+    return t.benchmark.select(F.col("item_id").alias("query"), F.explode(F.array(F.struct(F.lit("whole").alias("kind"), F.col("text").alias("phrase")), F.struct(F.lit("first").alias("kind"), first.alias("phrase")))).alias("p")).select(F.struct("query", "p.kind").alias("query"), "p.phrase")
+
+
+@query("""WITH b AS (SELECT item_id, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM benchmark),
+  q AS (SELECT item_id, 'whole' AS kind, list_distinct(w) AS need FROM b UNION ALL SELECT item_id, 'first', list_distinct(w[1:4]) FROM b),
+  d AS (SELECT doc_id AS document, list_filter(regexp_split_to_array(lower(text), '\\s+'), lambda w: w <> '') AS w FROM documents)
+  SELECT item_id AS query, kind, count(*) AS documents, CAST(sum(document) AS BIGINT) AS ids FROM q, d WHERE list_has_all(d.w, need) GROUP BY ALL""")
 def phrase_match(t):
-    words = F.filter(F.split(F.lower("text"), r"\s+"), lambda w: w != "")
-    q = t.benchmark.select(F.col("item_id").alias("query"), F.array_join(F.slice(words, 1, 4), " ").alias("phrase"))
-    return retrieve.phrase_matches(q, t.documents, "doc_id", "text").groupBy("query").agg(F.count("*").alias("documents"))
+    """How many documents hold all words of each item, and of its first four words."""
+    met = retrieve.phrase_matches(phrases(t), t.documents, "doc_id", "text")
+    return met.groupBy("query.query", "query.kind").agg(F.count("*").alias("documents"), F.sum("document").alias("ids"))
+
+
+@query()
+def phrase_rank(t):
+    """The twenty best documents of each phrase by cover density; held against plain loops in tests."""
+    ranked = retrieve.phrase_ranks(phrases(t), t.documents, "doc_id", "text", P.OVERLAP_CANDIDATES)
+    return ranked.select("query.query", "query.kind", "document", F.round("score", 9).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
 @query("SELECT state, count(*) AS n FROM (SELECT CASE WHEN v.vec_id IS NULL THEN 'missing' WHEN d.doc_id IS NULL THEN 'extra' WHEN v.label <> d.n_chars % 10 THEN 'stale' ELSE 'current' END AS state FROM documents d FULL JOIN embeddings v ON v.vec_id = d.doc_id + 100) GROUP BY 1")
