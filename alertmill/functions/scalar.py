@@ -86,6 +86,20 @@ def stable_text(text: Column) -> Column:
     return F.is_valid_utf8(text) & ~F.contains(text, F.lit("\x00"))
 
 
+#: The two forms of an alert's id.
+ALERT_ID = r"^([0-9]+\.[0-9]+|gl-[0-9A-HJKMNP-TV-Z]{26}-[0-9a-f]{8}(-[0-9a-f]{4}){3}-[0-9a-f]{12})\z"
+
+
+def is_alert_id(text: Column) -> Column:
+    """Whether a text is an alert's id as a whole; false for null."""
+    return F.coalesce(text.rlike(ALERT_ID), F.lit(False))
+
+
+def sorted_json(text: Column) -> Column:
+    """A JSON document with the keys of all its objects in order, without blanks; null for what can't be read."""
+    return F.to_json(F.try_parse_json(text))
+
+
 def without_hour_bucket(fingerprint: Column) -> Column:
     return F.regexp_replace(fingerprint, r"\|[0-9]{8}-[0-9]{2}\z", "")
 
@@ -202,7 +216,7 @@ def first_block(sev: Column, agent: Column, present: Column, criticality: Column
 
 def spreadsheet_safe(c: Column) -> Column:
     """Text that a spreadsheet won't take for a formula."""
-    return F.when(c.rlike("^[\\t\\r]") | c.rlike("^\\s*[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
+    return F.when(c.rlike("^[\\t\\r]") | c.rlike("(?U)^\\s*[=+@-]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
 def wilson(hits: Column, n: Column, z: float = 1.959963984540054) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from alertmill import params as P
 from alertmill.functions import scalar as S
 from alertmill.operators import decisions as D
-from alertmill.operators import filters, keyed
+from alertmill.operators import filters, keyed, prefix
 from alertmill.plans import model as M
 from alertmill.plans.model import ALERTS, CASES, DIMENSIONS, PREDICTIONS, RUNS, Tables, with_
 from alertmill.plans.registry import query
@@ -107,11 +107,10 @@ def stale_decisions(t):
 @query(with_(ALERTS) + "SELECT a.alert_id, count(b.alert_id) AS known FROM alerts a LEFT JOIN alerts b ON a.agent_name = b.agent_name AND a.rule_id = b.rule_id AND b.t < a.t AND b.decided < a.t GROUP BY a.alert_id")
 def as_of_known(t):
     """Decisions on the same rule and host that were there when an alert came in."""
-    a = M.alerts(t)
-    b = a.filter("decided is not null").select("agent_name", "rule_id", F.col("t").alias("u"), F.col("decided").alias("d"))
-    met = a.select("alert_id", "agent_name", "rule_id", "t").join(b, ["agent_name", "rule_id"])
-    n = D.as_of(D.as_of(met, "d", F.col("t")), "u", F.col("t")).groupBy("alert_id").agg(F.count("*").alias("n"))
-    return a.select("alert_id").join(n, "alert_id", "left").select("alert_id", F.coalesce("n", F.lit(0)).alias("known"))
+    a = M.alerts(t).select("alert_id", "agent_name", "rule_id", "t", "decided")
+    made = a.filter("decided is not null").select("agent_name", "rule_id", F.col("decided").alias("t"))  # never before its alert
+    known = prefix.running(made, a.select("agent_name", "rule_id", "t", "alert_id"), ["agent_name", "rule_id"], 7 * M.DAY, {"known": F.lit(1).cast("long")}, {})
+    return known.select("alert_id", "known")
 
 
 @query(with_(ALERTS) + "SELECT severity, CASE severity WHEN 'critical' THEN 'escalate' WHEN 'high' THEN 'needs_review' ELSE 'false_positive' END AS verdict, count(*) AS n FROM alerts GROUP BY ALL")

@@ -9,42 +9,52 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from alertmill.functions.scalar import spreadsheet_safe
 from alertmill.sources import scratch
 
 CHUNK = 1 << 20
 
 
-def cell(column: Column, kind: str) -> Column:
-    """A value as text: UTC ISO times, true and false, null as nothing; quoted only where CSV needs it."""
+def cell(column: Column, kind: str, guard: bool = False) -> Column:
+    """A value as text: UTC ISO times, true and false, lists joined by commas, null as nothing; quoted only where CSV needs it.
+    guard: what a spreadsheet would run as a formula gets a quote in front."""
     if kind == "timestamp":
         text = F.date_format(F.to_utc_timestamp(column, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'+00:00'")
+    elif kind.startswith("array"):
+        text = F.array_join(column.cast("array<string>"), ",")
     else:
         text = column.cast("string")
     text = F.coalesce(text, F.lit(""))
+    text = spreadsheet_safe(text) if guard else text
     return F.when(text.rlike('[",\r\n]'), F.concat(F.lit('"'), F.replace(text, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(text)
 
 
-def lines(df: DataFrame, columns: Sequence[str]) -> Column:
+def lines(df: DataFrame, columns: Sequence[str], guard: bool = False) -> Column:
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return F.array_join(F.array(*(cell(F.col(c), kinds[c]) for c in columns)), ",")
+    return F.array_join(F.array(*(cell(F.col(c), kinds[c], guard) for c in columns)), ",")
 
 
-def freeze(df: DataFrame, path: str, name: str, keys: Sequence[str]) -> dict:
+def export(df: DataFrame, path: str, name: str, keys: Sequence[str]) -> dict:
+    """As freeze(), for spreadsheets: behind a byte order mark, lines ended by CR LF, cells that would be formulas guarded."""
+    return freeze(df, path, name, keys, line_end="\r\n", mark="\ufeff", guard=True)
+
+
+def freeze(df: DataFrame, path: str, name: str, keys: Sequence[str], line_end: str = "\n", mark: str = "", guard: bool = False) -> dict:
     """Writes df as path/name (CSV with a header, line feeds, rows sorted by keys and then by all columns) and returns its entry
     of the manifest: name, rows, bytes and sha256. Tasks sort and write parts of the order; the parts are joined as a stream, in
     pieces of CHUNK bytes. The file is one: use this for outputs that people keep, not for tables."""
     from pyarrow import fs
 
     columns = df.columns
-    body = df.select(*columns, lines(df, columns).alias("value")).orderBy(*keys, "value").select("value")
+    body = df.select(*(F.col(k).alias(f"k{i}") for i, k in enumerate(keys)), lines(df, columns, guard).alias("value")).orderBy(*(f"k{i}" for i in range(len(keys))), "value").select("value")
     parts = scratch.path(df.sparkSession, "freeze")
-    body.write.option("lineSep", "\n").text(parts)
+    body.write.option("lineSep", line_end).text(parts)
     store, folder = fs.FileSystem.from_uri(parts)
     target, place = fs.FileSystem.from_uri(path)
     target.create_dir(place, recursive=True)
     digest, size = hashlib.sha256(), 0
     with target.open_output_stream(f"{place}/{name}") as out:
-        header = (",".join(columns) + "\n").encode()
+        header = (mark + ",".join(columns) + line_end).encode()
         for piece in _pieces(store, folder, header):
             out.write(piece)
             digest.update(piece)

@@ -77,18 +77,7 @@ def reload(stored: DataFrame, load: DataFrame, key: str) -> DataFrame:
     return out.withColumn("active", F.when(F.col("change") == "kept", F.lit(False)).otherwise(F.lit(True)))
 
 
-def search(feed: DataFrame, as_of: Column, source: str | None = None, kind: str | None = None, text: str | None = None, confidence: int | None = None) -> DataFrame:
-    """Entries that are not expired and match all that is given; text is looked for in value, threat, malware and tags."""
-    out = feed.filter(F.col("expires_at") > as_of)
-    if source:
-        out = out.filter(F.col("source") == source)
-    if kind:
-        out = out.filter(F.col("type") == kind)
-    if confidence is not None:
-        out = out.filter(F.col("confidence") >= confidence)
-    if text:
-        low = text.lower()
-        inside = lambda c: F.contains(F.lower(c), F.lit(low))
-        any_ = F.coalesce(inside(F.col("value")), F.lit(False)) | F.coalesce(inside(F.col("threat")), F.lit(False)) | F.coalesce(inside(F.col("malware")), F.lit(False))
-        out = out.filter(any_ | F.coalesce(F.exists("tags", inside), F.lit(False)))
-    return out
+def served(feed: DataFrame, as_of: int, times: tuple[str, ...] = ("first_seen", "expires")) -> DataFrame:
+    """Indicators as they are shown: times (microseconds) as UTC ISO text, and whether each has expired by as_of."""
+    iso = lambda c: F.date_format(F.to_utc_timestamp(F.timestamp_micros(c), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'").alias(c)
+    return feed.select(*(iso(c) if c in times else F.col(c) for c in feed.columns), (F.col("expires") <= as_of).alias("expired"))

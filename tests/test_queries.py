@@ -7,7 +7,7 @@ import duckdb
 import pandas as pd
 import pytest
 
-from alertmill.plans import addresses, analysis, decided, documents, extra, measures, queries, registry, reports, streams  # noqa: F401  (they fill the registry)
+from alertmill.plans import addresses, analysis, decided, documents, exports, extra, measures, queries, registry, reports, streams  # noqa: F401  (they fill the registry)
 
 SF_DIR = os.environ.get("QUERY_SF_DIR", "/root/testdata/sf0.001")
 
