@@ -97,6 +97,12 @@ def plain(values: Iterable) -> tuple:
     return tuple(None if x is None or x is pd.NA or x is pd.NaT or x != x else x.item() if hasattr(x, "item") else x for x in values)
 
 
+def whole(frame: pd.DataFrame) -> pd.DataFrame:
+    """Notices as objects whose instants are whole numbers or missing: pandas holds a column with gaps as floats, which a state's
+    long field drops."""
+    return frame.astype({"sent_at": "Int64", "decided_at": "Int64"}).astype(object)
+
+
 def notices(rows: DataFrame, key: str = "id", order: Sequence[str] = ("arrival",)) -> DataFrame:
     """Each notice (key, order and NOTICE columns) with its outcome and the ticket after it (APPLIED), applied in order of
     arrival. Notices are streamed in sorted order; a ticket's state is one row."""
@@ -108,7 +114,7 @@ def notices(rows: DataFrame, key: str = "id", order: Sequence[str] = ("arrival",
         held, stored = None, None
         for frame in frames:
             out = []
-            for row in frame.astype(object).itertuples(index=False, name=None):
+            for row in whole(frame).itertuples(index=False, name=None):
                 row = plain(row)
                 if row[0] != held:
                     held, stored = row[0], None

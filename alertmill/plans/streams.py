@@ -140,7 +140,7 @@ def notices_applied(t):
     return lifecycle.notices(notice_rows(t))
 
 
-@query(recursive(with_(NOTICES)) + "SELECT outcome, reason, stored_status, count(*) AS n, count(stored_decided_by) AS decided, CAST(sum(last_sent // 1000000) AS BIGINT) AS sent FROM f GROUP BY ALL")
+@query(recursive(with_(NOTICES)) + "SELECT outcome, reason, stored_status, count(*) AS n, count(stored_decided_by) AS decided, count(stored_decided_at) AS dated, CAST(sum(last_sent // 1000000) AS BIGINT) AS sent FROM f GROUP BY ALL")
 def notices_streamed(t):
     """The same as a stream of three batches with keyed state."""
     rows = scratch.written(notice_rows(t), "notices")
@@ -151,4 +151,4 @@ def notices_streamed(t):
             stream = N.applied(t.spark.readStream.schema(rows.schema).parquet(source))
             stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", mark).trigger(availableNow=True).start().awaitTermination()
         applied = t.spark.read.schema(stream.schema).parquet(out)
-    return applied.groupBy("outcome", "reason", "stored_status").agg(F.count("*").alias("n"), F.count("stored_decided_by").alias("decided"), F.sum(F.floor(F.col("last_sent") / 1_000_000)).alias("sent"))
+    return applied.groupBy("outcome", "reason", "stored_status").agg(F.count("*").alias("n"), F.count("stored_decided_by").alias("decided"), F.count("stored_decided_at").alias("dated"), F.sum(F.floor(F.col("last_sent") / 1_000_000)).alias("sent"))

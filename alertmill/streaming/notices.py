@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from alertmill.operators.lifecycle import APPLIED, NOTICE, apply_notice, plain
+from alertmill.operators.lifecycle import APPLIED, NOTICE, apply_notice, plain, whole
 
 TICKET = "sent_at long, status string, decided_by string, decided_at long, result string"
 
@@ -26,7 +26,7 @@ class NoticeProcessor(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         stored = tuple(self.ticket.get()) if self.ticket.exists() else None
         out = []
-        for row in pd.concat(list(rows)).sort_values(self.order)[[self.order, *NOTICE]].astype(object).itertuples(index=False, name=None):
+        for row in whole(pd.concat(list(rows)).sort_values(self.order)[[self.order, *NOTICE]]).itertuples(index=False, name=None):
             row = plain(row)
             stored, outcome, reason = apply_notice(stored, row[1:])
             out.append((key[0], row[0], outcome, reason, *stored))

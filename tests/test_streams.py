@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 
 from alertmill.operators import lifecycle
-from alertmill.streaming import clusters, late
+from alertmill.streaming import clusters, late, notices
 
 MINUTE = 60_000_000
 
@@ -134,3 +134,14 @@ def test_notices_bear_nulls_and_empty_tables(spark):
     assert [got[k]["outcome"] for k in range(1, 7)] == ["created", "updated", "ignored", "updated", "created", "updated"]
     assert got[3]["reason"] == "decided" and (got[4]["stored_status"], got[4]["stored_decided_by"], got[4]["stored_decided_at"]) == ("info", "u1", 20)
     assert lifecycle.notices(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_a_ticket_keeps_its_instants_as_whole_numbers():
+    p = notices.NoticeProcessor("id", "arrival")
+    p.init(Handle())
+    frame = pd.DataFrame({"id": [1, 1], "arrival": [2, 1], "sent_at": [6, 5], "status": ["kept", "kept"], "decided_by": [None, "u"], "decided_at": [None, 9], "result": [None, None]})
+    list(p.handleInputRows((1,), iter([frame]), None))
+    assert p.ticket.get() == (6, "kept", "u", 9, None) and isinstance(p.ticket.get()[3], int)
+    later = pd.DataFrame({"id": [1], "arrival": [3], "sent_at": [7], "status": ["open"], "decided_by": [None], "decided_at": [None], "result": [None]})
+    (out,) = p.handleInputRows((1,), iter([later]), None)
+    assert out["reason"].tolist() == ["decided"] and out["stored_decided_at"].tolist() == [9]
