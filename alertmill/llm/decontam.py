@@ -2,8 +2,13 @@
 
 Method: greedy string tiling. Runs of five words that a document shares with a benchmark item are seeds (Karp-Rabin
 hashes of word hashes, looked up in the items' table); on each diagonal they join to common runs. The longest run whose
-words are all unmarked is marked in both texts, again and again; the marked share of the item is its coverage. Tiles
-may come in any order, so that reordered passages count.
+words are all unmarked is marked in both texts, again and again (of equally long ones, that which begins first in the
+document, then in the item); the marked share of the item is its coverage. Tiles may come in any order, so that
+reordered passages count.
+
+Texts that repeat words have very many seeds in common. Where there are more than PAIRS for each word of both texts, the
+same tiles are found without listing seeds: the greatest length at which a common unmarked run is left is searched by
+Karp-Rabin hashes of all windows, all runs of that length are marked, and so on with shorter ones.
 
 The benchmark meets the documents in blocks of a bounded size (`block_bytes`), one pass each, so that what is sent to
 the executors does not grow. Documents stay where they are; nothing is shuffled.
@@ -24,11 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from alertmill.llm.common import MARKS, pieces_of, shingles, utf8, word_hashes
+from alertmill.llm.common import MARKS, pieces_of, powers, shingles, utf8, word_hashes
 
 WORDS = 5
 COVERAGE = 0.6
 BLOCK_BYTES = 8_000_000
+PAIRS = 8
 
 
 def tiles(hits: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, int, int]]:
@@ -66,6 +72,57 @@ def tiles(hits: list[tuple[int, int]], words: int = WORDS) -> list[tuple[int, in
     return out
 
 
+def tiles_of_words(doc: np.ndarray, item: np.ndarray, words: int = WORDS) -> list[tuple[int, int, int]]:
+    """The tiles() of two texts of word hashes, in memory of their words, however many seeds they share."""
+    marked = np.zeros(len(doc), bool), np.zeros(len(item), bool)
+    if min(len(doc), len(item)) < words:
+        return []
+    inverse = powers(max(len(doc), len(item)))[1]
+    sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(text * powers(len(text))[0], dtype=np.uint64)]) for text in (doc, item)]
+
+    def open_windows(n: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Places and hashes of the unmarked windows of both texts: sums of words times powers, moved to a common power."""
+        out = []
+        for own, marks in zip(sums, marked, strict=True):
+            count = np.concatenate([[0], np.cumsum(marks)])
+            places = np.flatnonzero(count[n:] == count[:-n])
+            out.append((places, (own[places + n] - own[places]) * inverse[places]))
+        return out
+
+    def is_common(n: int) -> bool:
+        (_, a), (_, b) = open_windows(n)
+        return bool(np.isin(a, b).any())
+
+    out, most = [], min(len(doc), len(item))
+    while most >= words and is_common(words):
+        low, high = words, most
+        while low < high:
+            middle = (low + high + 1) // 2
+            low, high = (middle, high) if is_common(middle) else (low, middle - 1)
+        (places, hashes), (in_item, item_hashes) = open_windows(low)
+        order = np.argsort(item_hashes, kind="stable")
+        item_hashes, in_item = item_hashes[order], in_item[order]
+        first = np.searchsorted(item_hashes, hashes, "left")
+        ends = np.searchsorted(item_hashes, hashes, "right")
+        following: dict[int, int] = {}  # places of one hash that are marked stay so
+        free_from = 0
+        for k in np.flatnonzero(ends > first):
+            d, begin, end = int(places[k]), int(first[k]), int(ends[k])
+            if d < free_from:
+                continue
+            at = following.get(begin, begin)
+            while at < end and marked[1][in_item[at] : in_item[at] + low].any():
+                at += 1
+            following[begin] = at
+            if at < end:
+                i = int(in_item[at])
+                out.append((d, i, low))
+                marked[0][d : d + low] = marked[1][i : i + low] = True
+                free_from = d + low
+        most = low - 1
+    return out
+
+
 class Items:
     """A block of the benchmark with its table of seeds."""
 
@@ -74,10 +131,14 @@ class Items:
         words, at = word_hashes(data, bounds, MARKS)
         seeds, seeds_at = shingles(words, at, WORDS)
         order = np.argsort(seeds, kind="stable")
-        self.ids, self.sizes = ids, np.diff(at)
-        self.seeds = seeds[order]
-        owner = np.repeat(np.arange(len(ids)), np.diff(seeds_at))
-        self.owner, self.place = owner[order], (np.arange(len(seeds)) - seeds_at[owner])[order]
+        self.ids, self.sizes, self.words, self.at = ids, np.diff(at), words, at
+        seeds_of = np.repeat(np.arange(len(ids)), np.diff(seeds_at))
+        places = (np.arange(len(seeds)) - seeds_at[seeds_of])[order]
+        # one entry for each seed of an item, with the slice of its places
+        owner, seeds_sorted = seeds_of[order], seeds[order]
+        begins = np.flatnonzero(np.concatenate([np.ones(min(1, len(seeds)), bool), (seeds_sorted[1:] != seeds_sorted[:-1]) | (owner[1:] != owner[:-1])]))
+        self.seeds, self.owner, self.place = seeds_sorted[begins], owner[begins], places
+        self.begins = np.append(begins, len(seeds))
         self.maybe = np.zeros(1 << 22, bool)
         self.maybe[seeds & np.uint64((1 << 22) - 1)] = True
 
@@ -95,9 +156,13 @@ class Items:
             for k in np.flatnonzero(high > low):
                 row, place = int(rows[k]), int(at_hit[k] - found_at[rows[k]])
                 for s in range(low[k], high[k]):
-                    hits[row, int(self.owner[s])].append((place, int(self.place[s])))
+                    hits[row, int(self.owner[s])].append((place, s))
             for (row, item), seeds in hits.items():
-                marked = tiles(seeds)
+                doc, own = words[at[row] : at[row + 1]], self.words[self.at[item] : self.at[item + 1]]
+                if sum(int(self.begins[s + 1] - self.begins[s]) for _, s in seeds) > PAIRS * (len(doc) + len(own)):
+                    marked = tiles_of_words(doc, own)
+                else:
+                    marked = tiles([(place, int(i)) for place, s in seeds for i in self.place[self.begins[s] : self.begins[s + 1]]])
                 yield a + row, item, sum(n for _, _, n in marked), len(marked)
 
 
