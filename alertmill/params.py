@@ -35,6 +35,7 @@ ENTITY_CAP, REPRESENTATIVES = 50, 15
 RULE_WIDTH_SHARE, REVIEW_TOLERANCE, BLIND_FRACTION = 30, 20, 0.5
 NULL_RATIO_LIMIT, UNAVAILABLE_LIMIT, COST_LIMIT, INTAKE_AGE_S, JOB_AGE_S = 0.30, 0.10, 0.80, 300, 600
 BOOTSTRAP_SEED, BOOTSTRAP_DRAWS = 20260904, 1000
+HEARTBEAT_AGE_MIN, WEBHOOK_AGE_H, DIGEST_HOUR, LOOKUP_FAILURES = 30, 24, 17, 5
 MACRO_F1_MAX_DROP, HIGH_CONFIDENCE, TOP_MALWARE, NEWEST_MALWARE = 0.03, 75, 10, 3
 DISPLAY_TZ = "Asia/Ho_Chi_Minh"
 
