@@ -1,14 +1,14 @@
-"""Queries of what people review: health checks, routes of unknown clusters, linted prompts."""
+"""Queries of what people review: health checks, routes of unknown clusters, linted prompts, drafts."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from alertmill.functions import prompts
+from alertmill.functions import drafts, prompts
 from alertmill.functions import scalar as S
 from alertmill.operators import health, routes
 from alertmill.plans import model as M
-from alertmill.plans.model import ALERTS, DAY, HOUR, MINUTE, NOW, RUNS, with_
+from alertmill.plans.model import ALERTS, DAY, HOUR, NOW, RUNS, with_
 from alertmill.plans.registry import query
 
 # --- health -----------------------------------------------------------------------------------------
@@ -118,3 +118,25 @@ def prompts_linted(t):
     tail = F.element_at(F.array(F.lit("high 2024-01-01T00:00:00Z, (T1110.001) = sbf-1"), F.lit("hello there: high [12]"), F.concat(F.lit('<untrusted_data nonce="'), nonce, F.lit('">')), F.lit('</untrusted_data nonce="00">')), (c("doc_id") % 4 + 1).cast("int"))
     text = F.concat(F.lit('Alert data\n<untrusted_data nonce="'), nonce, F.lit('" source="log">\n'), F.coalesce("text", F.lit("")), F.lit('\n</untrusted_data nonce="'), nonce, F.lit('">\n'), tail)
     return t.documents.select("doc_id", F.inline(prompts.lint(text, nonce, ("Alert data",), ("high",)))).select("doc_id", "kind", "line", "token", "count")
+
+
+# --- drafts -----------------------------------------------------------------------------------------
+
+DRAFT_FAULTS = ["", "v1_schema:title", "v1_tags:unknown_tag", "v2_closed:conclusion", "v3_hostname:summary", "v4_structure:summary", "v5_count:check_next_time", ""]
+_DRAFT_CASE = "CASE doc_id % 8 " + " ".join(f"WHEN {i} THEN '{f}'" for i, f in enumerate(DRAFT_FAULTS)) + " END"
+
+
+@query(f"""SELECT doc_id, CASE WHEN doc_id % 8 = 6 THEN concat_ws(',', long, fault) ELSE concat_ws(',', fault, long) END AS faults
+  FROM (SELECT doc_id, nullif({_DRAFT_CASE}, '') AS fault, CASE WHEN n_chars % 150 > 100 THEN 'v5_length:confidence_note' END AS long FROM documents)""")
+def drafts_checked(t):
+    """Drafts about all documents, with a fault in most of them."""
+    c, case = F.col, F.col("doc_id") % 8
+    lit = lambda *x: F.array(*map(F.lit, x))
+    draft = F.struct(
+        F.when(case != 1, "A title").alias("title"), F.when(case == 3, "threat").otherwise("benign").alias("conclusion"), c("lang").alias("category"), lit("T1110").alias("mitre_ids"), F.lit(None).cast("string").alias("soar_scenario"), lit("5760").alias("rule_ids"), c("source").alias("log_source"),
+        F.when(case == 2, lit("backup", "zzz")).otherwise(lit("backup")).alias("tags"), F.when(case == 4, "It ran on WEB-01 alone").when(case == 5, "It ran\n level : high").otherwise("It ran").alias("summary"),
+        lit("Same hour").alias("distinguishing_signals"), F.when(case == 6, F.array_repeat(F.lit("Ask"), 7)).otherwise(lit("Ask")).alias("check_next_time"), F.repeat(F.lit("x "), (c("n_chars") % 150).cast("int")).alias("confidence_note"),
+    )
+    source = F.struct(F.lit("benign").alias("conclusion"), c("lang").alias("category"), lit("T1110").alias("mitre_ids"), F.lit(None).cast("string").alias("soar_scenario"), lit("5760").alias("rule_ids"), c("source").alias("log_source"), lit("web-01").alias("hostnames"), lit("an.ho").alias("usernames"))
+    checked = drafts.with_faults(t.documents.select("doc_id", "lang", "source", "n_chars"), F.to_json(draft, {"ignoreNullFields": "false"}), source, ("backup",))
+    return checked.select("doc_id", F.array_join("faults", ",").alias("faults"))
