@@ -45,9 +45,9 @@ CASES = [
     ({"summary": "ok  Level : high"}, []),
     ({"summary": "ok\n level : high"}, ["v4_structure:summary"]),
     ({"check_next_time": ["fine", "［12］ next"]}, ["v4_structure:check_next_time"]),
-    ({"title": "x" * 121}, ["v5_length:title"]),
+    ({"title": "x " * 61}, ["v5_length:title"]),
     ({"title": " \n", "summary": ""}, ["v5_empty:title", "v5_empty:summary"]),
-    ({"check_next_time": ["x"] * 7, "distinguishing_signals": ["y" * 161]}, ["v5_length:distinguishing_signals", "v5_count:check_next_time"]),
+    ({"check_next_time": ["x"] * 7, "distinguishing_signals": ["y " * 81]}, ["v5_length:distinguishing_signals", "v5_count:check_next_time"]),
     ({"confidence_note": "é" * 200}, []),
 ]
 
