@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable, Iterator, Sequence
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,24 +104,42 @@ def whole(frame: pd.DataFrame) -> pd.DataFrame:
     return frame.astype({"sent_at": "Int64", "decided_at": "Int64"}).astype(object)
 
 
-def notices(rows: DataFrame, key: str = "id", order: Sequence[str] = ("arrival",)) -> DataFrame:
+def notices(rows: DataFrame, key: str = "id", order: Sequence[str] = ("arrival",), stored: DataFrame | None = None) -> DataFrame:
     """Each notice (key, order and NOTICE columns) with its outcome and the ticket after it (APPLIED), applied in order of
-    arrival. Notices are streamed in sorted order; a ticket's state is one row."""
+    arrival. Notices are streamed in sorted order; a ticket's state is one row.
+
+    stored: tickets (key and NOTICE columns, one row a key) that the notices come to. With it, a row without an outcome and order
+    follows for each ticket, old or new: what it is after all notices."""
     names = [key, *order, *NOTICE]
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
-    ordered = rows.select(*names).repartition(key).sortWithinPartitions(key, *order)
-
-    def fold(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, stored = None, None
-        for frame in frames:
-            out = []
-            for row in whole(frame).itertuples(index=False, name=None):
-                row = plain(row)
-                if row[0] != held:
-                    held, stored = row[0], None
-                stored, outcome, reason = apply_notice(stored, row[1 + len(order) :])
-                out.append((*row[: 1 + len(order)], outcome, reason, *stored))
-            yield pd.DataFrame(out, columns=columns, dtype=object)
-
+    both = rows.select(*names, F.lit(True).alias("_new"))
+    if stored is not None:
+        both = both.unionByName(stored.select(key, *NOTICE, F.lit(False).alias("_new")), allowMissingColumns=True)
+    ordered = both.repartition(key).sortWithinPartitions(key, "_new", *order)
+    told, at = stored is not None, 1 + len(order)
     columns = [key, *order, *(c.split()[0] for c in APPLIED.split(", "))]
-    return ordered.mapInPandas(fold, ", ".join([*(f"{n} {kinds[n]}" for n in (key, *order)), APPLIED]))
+    kind = ", ".join([*(f"{n} {kinds[n]}" for n in (key, *order)), APPLIED])
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begun, held, ticket, types = False, None, None, None
+        end = lambda: (held, *(None,) * len(order), None, None, *ticket)
+        made = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=columns)
+        for batch in batches:
+            types = types or [*batch.schema.types[:at], pa.string(), pa.string(), *batch.schema.types[at:-1]]
+            out = []
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if not begun or row[0] != held:
+                    if begun and told:
+                        out.append(end())
+                    begun, held, ticket = True, row[0], None
+                if row[-1]:
+                    ticket, outcome, reason = apply_notice(ticket, row[at:-1])
+                    out.append((*row[:at], outcome, reason, *ticket))
+                else:
+                    ticket = row[at:-1]
+            if out:
+                yield made(out)
+        if begun and told:
+            yield made([end()])
+
+    return ordered.mapInArrow(fold, kind)
