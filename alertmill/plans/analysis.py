@@ -98,10 +98,10 @@ def overlap_correlation(t):
 
 @query(with_(ALERTS, PAIRS) + "SELECT left_id, count(*) AS n FROM pairs JOIN alerts a ON a.alert_id = left_id JOIN alerts b ON b.alert_id = right_id WHERE b.decided > a.t GROUP BY 1")
 def decided_after(t):
-    a = M.alerts(t)
-    pairs = keyed.linked_pairs(a, "alert_id", "t", links(), BESIDE)
-    met = pairs.join(a.select(F.col("alert_id").alias("left_id"), "t"), "left_id").join(a.select(F.col("alert_id").alias("right_id"), "decided"), "right_id")
-    return met.filter("decided > t").groupBy("left_id").agg(F.count("*").alias("n"))
+    """A decision counts for the alerts beside its own that come before it: it stands from one window before its alert to one after, or until it is made."""
+    until = F.when(F.col("decided").isNotNull(), F.least(F.col("t") + BESIDE, F.col("decided") - 1))
+    a = M.alerts(t).withColumns({"stands": F.col("t") - BESIDE, "until": until})
+    return prefix.standing(a, "alert_id", "t", "stands", "until", links(), M.DAY).withColumnRenamed("subject", "left_id")
 
 
 # --- retrieval -----------------------------------------------------------------------------------
