@@ -167,9 +167,12 @@ def nearest_cosine(t):
   j AS (SELECT coalesce(a.subject, c.subject) AS subject, coalesce(a.entry, c.entry) AS entry, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN 0 ELSE 1 END AS g, CASE WHEN ra IS NOT NULL AND rb IS NOT NULL THEN ra ELSE coalesce(2 * ra, 2 * rb + 1) END AS r FROM a FULL JOIN c ON a.subject = c.subject AND a.entry = c.entry)""")
     + "SELECT subject, entry, position FROM (SELECT subject, entry, row_number() OVER (PARTITION BY subject ORDER BY g, r, entry) AS position FROM j) WHERE position <= 40")
 def hybrid_merge(t):
-    ranked = retrieve.overlap(subjects(t), entries(t), "doc_id", "entry", "category", "tags", 30)
-    b = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("entry")))).filter(F.col("rank") <= P.VECTOR_CANDIDATES)
-    return keyed.interleave(ranked.filter(F.col("rank") <= P.OVERLAP_CANDIDATES), b, "subject", "entry", "rank", P.MERGED_CANDIDATES).withColumn("position", F.col("position").cast("long"))
+    def merged(kinds: DataFrame) -> DataFrame:
+        ranked = retrieve.scored_overlap(kinds, entries(t), "profile", "entry", "category", "tags", 30)
+        b = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("subject").orderBy(F.desc("entry")))).filter(F.col("rank") <= P.VECTOR_CANDIDATES)
+        return keyed.interleave(ranked.filter(F.col("rank") <= P.OVERLAP_CANDIDATES), b, "subject", "entry", "rank", P.MERGED_CANDIDATES)
+
+    return retrieve.profiled(subjects(t), "doc_id", ["category", "tags"], merged).withColumn("position", F.col("position").cast("long"))
 
 
 def phrases(t: Tables) -> DataFrame:
