@@ -20,7 +20,7 @@ from alertmill.streaming import notices as N
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """RocksDB as the state store, as keyed state with timers needs it."""
+    """RocksDB as the state store: keyed state with timers needs it, and keys that are kept need not fit in memory."""
     key = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(key)
     spark.conf.set(key, clusters.STATE_STORE)
@@ -57,7 +57,8 @@ def pulled_alerts(t):
     pull.record_pages(search_rows(t), pages)
     options = {"pages": pages, "page_size": 400, "overlap_s": 3600}
     for _ in range(2):  # the second start reads the overlap again and adds nothing
-        pull.ingest(t.spark, out, mark, **options).awaitTermination()
+        with state_store(t.spark):
+            pull.ingest(t.spark, out, mark, **options).awaitTermination()
     rows = t.spark.read.schema(pull.SCHEMA).parquet(out)
     return rows.groupBy(F.floor(F.col("sort_ms") / 3_600_000).alias("hour"), "manager_id", "heartbeat").agg(F.count("*").alias("n"), F.min("sort_ms").alias("first_ms"), F.sum(F.col("source_alert_id").cast("long")).alias("ids"))
 

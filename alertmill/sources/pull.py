@@ -12,6 +12,7 @@ again is taken out downstream: ingest() keeps each (manager, alert) once.
 
 from __future__ import annotations
 
+import heapq
 import json
 import time
 import urllib.error
@@ -105,6 +106,16 @@ class Http:
         body = {"size": size, "sort": [{"timestamp": "asc"}, {"_id": "asc"}], "fields": ["timestamp"], "query": {"range": {"timestamp": span}}}
         return self.post(body | ({"search_after": after} if after else {}))
 
+    def hits(self, gte: int, lt: int, size: int) -> Iterator[tuple[dict, str]]:
+        """All hits with gte <= sort < lt, page after page until one is not full."""
+        after = None
+        while True:
+            found = hits_of(self.page(gte, lt, after, size))
+            yield from found
+            if len(found) < size:
+                return
+            after = found[-1][0]["sort"]
+
     def newest(self) -> int | None:
         hits = hits_of(self.post({"size": 1, "sort": [{"timestamp": "desc"}], "fields": ["timestamp"]}))
         return sort_of(hits[0][0]) if hits else None
@@ -112,7 +123,7 @@ class Http:
 
 class Recorded:
     """Pages recorded as files of a folder (any file system that Arrow reads), named <first>-<last>[-...].json by their sort
-    values, so that a span opens only the files that it meets. A page may hold more hits than were asked for."""
+    values, so that a span opens only the files that it meets."""
 
     def __init__(self, options: dict):
         from pyarrow import fs
@@ -125,33 +136,27 @@ class Recorded:
         names = [f.path for f in self.store.get_file_info(fs.FileSelector(self.folder)) if f.base_name.endswith(".json")]
         return sorted((*map(int, n.rsplit("/", 1)[-1].removesuffix(".json").split("-")[:2]), n) for n in names)
 
-    def page(self, gte: int, lt: int, after: list | None, size: int) -> str:
-        found: list[tuple[list, str]] = []
+    def hits(self, gte: int, lt: int, size: int) -> Iterator[tuple[dict, str]]:
+        """All hits of the span in order. The folder is listed once and each file of the span read once; what is held are the hits
+        of files that overlap."""
+        held: list[tuple[list, int, dict, str]] = []
+        n = 0
         for first, last, name in self.files():
-            if last < gte or first >= lt or (after and last < after[0]):
+            if last < gte or first >= lt:
                 continue
-            if len(found) >= size and first > found[-1][0][0]:
-                break
+            while held and held[0][0][0] < first:
+                yield heapq.heappop(held)[2:]
             with self.store.open_input_stream(name) as f:
-                hits = hits_of(f.read().decode())
-            found = sorted([*found, *((h["sort"], raw) for h, raw in hits if gte <= sort_of(h) < lt and (not after or h["sort"] > after))])[:size]
-        return '{"hits": {"hits": [' + ",".join(raw for _, raw in found) + "]}}"
+                for hit, raw in hits_of(f.read().decode()):
+                    if gte <= sort_of(hit) < lt:
+                        heapq.heappush(held, (hit["sort"], n := n + 1, hit, raw))
+        while held:
+            yield heapq.heappop(held)[2:]
 
     def newest(self) -> int | None:
         return max((last for _, last, _ in self.files()), default=None)
 
 
-def walk(pages: Http | Recorded, gte: int, lt: int, size: int) -> Iterator[tuple[dict, str]]:
-    """All hits with gte <= sort < lt, page after page until one is not full."""
-    after = None
-    while True:
-        hits = hits_of(pages.page(gte, lt, after, size))
-        yield from hits
-        if len(hits) < size:
-            return
-        after = hits[-1][0]["sort"]
-
-
 # --- the data source
 
 
@@ -195,7 +200,7 @@ class Reader(DataSourceReader):
     def read(self, partition: Span) -> Iterator[tuple]:
         if partition.gte >= partition.lt:
             return
-        for hit, raw in walk(self.source(), partition.gte, partition.lt, self.size):
+        for hit, raw in self.source().hits(partition.gte, partition.lt, self.size):
             alert = hit.get("_source") or {}
             rule, manager = alert.get("rule") or {}, alert.get("manager") or {}
             yield sort_of(hit), manager.get("name"), alert.get("id"), rule.get("id") == P.HEARTBEAT_RULE, raw

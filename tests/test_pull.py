@@ -132,3 +132,27 @@ def test_recorded_pages_are_read_back(spark, tmp_path):
     pull.record_pages(spark.createDataFrame(own, "sort_ms long, id string, value string"), f"file://{tmp_path}/p", 9)
     got = pull.backfill(spark, pages=f"file://{tmp_path}/p", page_size=11)
     assert sorted((r["sort_ms"], r["source_alert_id"]) for r in got.collect()) == sorted((s, json.loads(v)["id"]) for s, _, v in own)
+
+
+def test_a_span_lists_once_and_reads_each_file_once(tmp_path):
+    """Also where files overlap, as after a late recording."""
+    rng = random.Random(3)
+    hits = [alert(i, rng.randrange(5000)) for i in range(300)]
+    record(tmp_path, hits[:200], "a")
+    record(tmp_path, hits[200:], "b")
+    pages, calls = pull.Recorded({"pages": f"file://{tmp_path}"}), []
+
+    class Counted:
+        def __init__(self, store):
+            self.store = store
+
+        def __getattr__(self, name):
+            calls.append(name)
+            return getattr(self.store, name)
+
+    pages.store = Counted(pages.store)
+    got = [h["sort"] for h, _ in pages.hits(1000, 4000, 5)]
+    assert got == sorted(h["sort"] for h in hits if 1000 <= h["sort"][0] < 4000)
+    files = [f.stem.split("-") for f in tmp_path.iterdir()]
+    assert calls.count("get_file_info") == 1
+    assert calls.count("open_input_stream") == sum(int(f[1]) >= 1000 and int(f[0]) < 4000 for f in files)
