@@ -44,15 +44,16 @@ class ClusterProcessor(StatefulProcessor):
         return ends // 1000 + 1
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        now = tuple(self.open.get()) if self.open.exists() else None
+        held = self.open.get()
+        now = tuple(held) if held else None
         before = self.due(now) if now and self.clock != "order" else None
-        closed = []
-        arrived = pd.concat(list(rows))
-        if self.clock == "arrival":
-            arrived["t"] = timerValues.getCurrentProcessingTimeInMs() * 1000
-        arrived = arrived.sort_values(["t", "alert_id"])
-        autos = arrived["auto_closed"].eq(True).tolist() if "auto_closed" in arrived else [False] * len(arrived)
-        for t, i, a in zip(arrived["t"].tolist(), arrived["alert_id"].tolist(), autos, strict=True):
+        closed, arrived = [], []
+        at = timerValues.getCurrentProcessingTimeInMs() * 1000 if self.clock == "arrival" else None
+        for frame in rows:  # lists, as most keys have few rows and pandas takes longer to sort them than Python
+            n = len(frame)
+            autos = frame["auto_closed"].eq(True).tolist() if "auto_closed" in frame else [False] * n
+            arrived += zip([at] * n if at is not None else frame["t"].tolist(), frame["alert_id"].tolist(), autos, strict=True)
+        for t, i, a in sorted(arrived):
             if now:
                 _, first, last, n, auto = now
                 why = "idle_gap" if t - last > self.gap else "max_age" if t - first > self.limit(auto) else "max_size" if n >= self.size else None
@@ -69,9 +70,10 @@ class ClusterProcessor(StatefulProcessor):
             yield self.rows(closed)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if not self.open.exists():
+        held = self.open.get()
+        if not held:
             return
-        now = tuple(self.open.get())
+        now = tuple(held)
         if self.due(now) > expiredTimerInfo.getExpiryTimeInMs():  # the timer of an earlier alert
             return
         self.open.clear()

@@ -167,3 +167,12 @@ def test_batches_of_many_tickets_go_on_from_what_was_left(spark, tmp_path):
     last = {r["id"]: tuple(r)[4:] for r in got}
     assert {r["id"]: tuple(r)[1:] for r in batches.tickets(spark, 3).collect()} == last
     assert spent < 40  # a call for each of the 15,000 or so was over a minute
+
+
+def test_a_call_for_a_key_reads_its_state_once():
+    p = clusters.ClusterProcessor(["key"], 15 * MINUTE, 240 * MINUTE, 1000, 30 * MINUTE, "order")
+    p.init(Handle())
+    p.open.exists = None  # not to be asked
+    frames = [pd.DataFrame({"t": t, "alert_id": i}) for t, i in (([20 * MINUTE, 0], [3, 1]), ([MINUTE], [2]))]
+    out = [tuple(r) for f in p.handleInputRows(("k",), iter(frames), None) for r in f.itertuples(index=False, name=None)]
+    assert out == [("k", 1, 0, MINUTE, 2, "idle_gap")] and p.open.get() == (3, 20 * MINUTE, 20 * MINUTE, 1, False)
