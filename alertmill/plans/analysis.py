@@ -71,10 +71,9 @@ BESIDE = P.CORRELATION_WINDOW_S * 1_000_000
 
 @query(with_(ALERTS, PAIRS) + "SELECT left_id, count(*) AS n, count(DISTINCT rule_id) AS rules, max(rule_level) AS worst FROM pairs JOIN alerts ON alert_id = right_id GROUP BY left_id")
 def correlation_summary(t):
-    a = M.alerts(t)
-    by_rule = prefix.beside(a, "alert_id", "t", links(), BESIDE, "rule_id").groupBy("subject").agg(F.sum("n").alias("n"), F.count("*").alias("rules"))
-    worst = prefix.best_beside(a, "alert_id", "t", links(), BESIDE, "rule_level", 1).join(a.select(F.col("alert_id").alias("other"), F.col("rule_level").alias("worst")), "other")
-    return by_rule.join(worst.select("subject", "worst"), "subject").withColumnRenamed("subject", "left_id")
+    by_rule = prefix.beside(M.alerts(t), "alert_id", "t", links(), BESIDE, "rule_id", level="rule_level")
+    worst = F.max("worst").cast("int").alias("worst")
+    return by_rule.groupBy(F.col("subject").alias("left_id")).agg(F.sum("n").alias("n"), F.count("group").alias("rules"), worst)
 
 
 @query(with_(ALERTS, PAIRS) + """SELECT left_id, rule_id, n, last_seen FROM (SELECT *, row_number() OVER (PARTITION BY left_id ORDER BY n DESC, rule_id) AS r
