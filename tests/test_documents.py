@@ -106,3 +106,10 @@ def test_power(spark):
         assert r["d"] == pytest.approx(high, abs=2e-3)
     odd = spark.createDataFrame([(0, 0.0), (None, None)], "n long, psi double").select(evaluate.least_difference(F.col("n"), F.col("psi")), evaluate.pairs_needed(F.lit(0.0), F.col("psi"))).collect()
     assert [tuple(r) for r in odd] == [(None, None)] * 2
+
+
+def test_lines_of_a_block_are_worked_out_once(spark):
+    """Each value is folded by one expression in the whole plan of the blocks, however often its line is looked at."""
+    df = spark.range(5).select("id", F.col("id").cast("string").alias("v"))
+    made = context.blocks(df.withColumn("line", context.line("a", {"k": F.col("v"), "l": F.col("v")})), "id", [F.col("v")], "line")
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 2
