@@ -171,3 +171,13 @@ def test_fields_do_not_run_over():
     total = n * filteraudit.packed(31, True, True)
     steps = filteraudit.unpacked(total)
     assert steps[0] == (0, n, 0, 0, n, n) and steps[1] == (0, 0, n, 0, 0, 0) and len(steps) == 600
+
+
+def test_lines_are_split_into_tokens_once_for_their_paths(spark, monkeypatch):
+    from alertmill.llm import linededup
+
+    plans, written = {}, linededup.written
+    monkeypatch.setattr(linededup, "written", lambda df, name: plans.setdefault(name, df._jdf.queryExecution().optimizedPlan().toString()) and written(df, name))
+    docs = spark.createDataFrame([(i, f"same line of text here\nown {i}") for i in range(9)], "doc_id long, text string")
+    assert sum(r["n_dropped"] for r in linededup.without_lines(docs).collect()) == 8
+    assert "split(" in plans["paths"] and "split(" not in plans["leaves"]
